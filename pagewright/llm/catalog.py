@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets
 
 
 def queries() -> dict:
-    return {"op4_mixing": mixing.query}
+    return {
+        "op1_secrets": secrets.query,
+        "op4_mixing": mixing.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
