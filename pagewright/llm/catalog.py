@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import langid, mixing, secrets
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.query,
         "op4_mixing": mixing.query,
+        "op9_language_id": langid.query,
     }
 
 
