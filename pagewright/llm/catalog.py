@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets
+from . import langid, mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.query,
+        "op2_quality": quality.query,
         "op4_mixing": mixing.query,
         "op9_language_id": langid.query,
     }
