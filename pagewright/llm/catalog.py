@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, secrets
+from . import bpe, langid, mixing, quality, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_secrets": secrets.query,
         "op2_quality": quality.query,
         "op4_mixing": mixing.query,
+        "op5_bpe": bpe.query,
         "op9_language_id": langid.query,
     }
 
