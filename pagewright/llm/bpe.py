@@ -23,7 +23,7 @@ from .lexicon import Lexicon, compile_lexicon
 MAX_LEXICON, MAX_KEPT, FLUSH, SLICE = 65_536, 250_000, 400_000, 256
 #: The end of a word, and the white space of Unicode.
 END = "</w>"
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def _class(kind: str) -> str:
