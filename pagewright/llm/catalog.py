@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, secrets
+from . import bpe, langid, mixing, quality, secrets, topk
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality": quality.query,
         "op4_mixing": mixing.query,
         "op5_bpe": bpe.query,
+        "op7_topk": topk.query,
         "op9_language_id": langid.query,
     }
 
