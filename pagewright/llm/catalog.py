@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, secrets, topk
+from . import bpe, hmm, langid, mixing, quality, secrets, topk
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.query,
         "op2_quality": quality.query,
+        "op3_hmm": hmm.query,
         "op4_mixing": mixing.query,
         "op5_bpe": bpe.query,
         "op7_topk": topk.query,

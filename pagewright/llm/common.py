@@ -50,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and any executor can read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pagewright-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path
