@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hmm, langid, mixing, quality, secrets, topk
+from . import bpe, fingerprints, hmm, langid, mixing, quality, secrets, topk
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixing": mixing.query,
         "op5_bpe": bpe.query,
         "op7_topk": topk.query,
+        "op8_fingerprints": fingerprints.query,
         "op9_language_id": langid.query,
     }
 
