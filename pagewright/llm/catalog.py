@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, hmm, langid, mixing, quality, secrets, topk
+from . import bpe, fingerprints, hmm, langid, mixing, ngram_join, quality, secrets, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_hmm": hmm.query,
         "op4_mixing": mixing.query,
         "op5_bpe": bpe.query,
+        "op6_ngram_join": ngram_join.query,
         "op7_topk": topk.query,
         "op8_fingerprints": fingerprints.query,
         "op9_language_id": langid.query,
