@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, hmm, langid, mixing, ngram_join, quality, secrets, topk
+from . import bpe, fingerprints, hmm, langid, mixing, ngram_join, quality, quotations, secrets, topk
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_topk": topk.query,
         "op8_fingerprints": fingerprints.query,
         "op9_language_id": langid.query,
+        "op10_quotations": quotations.query,
     }
 
 
