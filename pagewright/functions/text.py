@@ -40,8 +40,8 @@ def heading(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """chi_sim or rus by the first character of either script, eng without any."""
-    first = F.regexp_extract(text, "([\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]|[\\x{0400}-\\x{04FF}])", 1)
-    return F.when(first == "", "eng").when(first.rlike("[\\x{0400}-\\x{04FF}]"), "rus").otherwise("chi_sim")
+    first = F.regexp_extract(text, r"([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{0400}-\x{052F}])", 1)
+    return F.when(first == "", "eng").when(first.rlike(r"[\x{0400}-\x{052F}]"), "rus").otherwise("chi_sim")
 
 
 def occurrences(text: Column, part: str, overlapping: bool = False, match_case: bool = False) -> Column:
