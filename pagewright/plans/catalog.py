@@ -425,7 +425,7 @@ def table_cells(s, d):
     w = _words(s, d)
     p = w.select("doc_id", "page").distinct()
     box = p.withColumn("table_ix", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("col_ix", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    cols = box.select("doc_id", "page", "table_ix", "col_ix", (300 * F.col("col_ix")).alias("left"), (300 * F.col("col_ix") + 300).alias("right"), (20 + 200 * F.col("table_ix")).alias("top"), (219 + 200 * F.col("table_ix")).alias("bottom"))
+    cols = box.select("doc_id", "page", "table_ix", "col_ix", (300 * F.col("col_ix")).alias("left"), (300 * F.col("col_ix") + 300).alias("right"), (20 + 200 * F.col("table_ix")).alias("top"), (229 + 200 * F.col("table_ix")).alias("bottom"))
     rows = p.withColumn("table_ix", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("row_ix", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("doc_id", "page", "table_ix", "row_ix", (26 + 200 * F.col("table_ix") + 40 * F.col("row_ix")).alias("above"), (66 + 200 * F.col("table_ix") + 40 * F.col("row_ix")).alias("below"))
     return document.table_cells(w, cols, rows)
 
