@@ -65,6 +65,20 @@ def drop(df: DataFrame) -> None:
         _written[:] = [x for x in _written if x[1] != path]
 
 
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of the highest counts, `most` at most; where too many share a count (to one part in 64 of an octave), none of these.
+
+    A histogram of bounded size finds the least count to keep, so no task sorts rows or sends more than are kept.
+    """
+    at = F.floor(F.log2(F.col(n)) * 64)
+    room, least = most, None
+    for r in counts.groupBy(at.alias("at")).count().orderBy(F.desc("at")).collect():
+        if (room := room - r["count"]) < 0:
+            break
+        least = r["at"]
+    return counts.where(at >= least) if least is not None else counts.limit(0)
+
+
 def fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(n))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table, written
+from .common import fold, most_frequent, table, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bounds of what is broadcast: that many words, and n-grams of each order, over all languages; the rest backs off.
@@ -114,7 +114,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     gram_counts = written(summed(words.mapInArrow(_count_grams, shape)), "grams")
 
     def top(counts: DataFrame, most: int) -> tuple[list[str], list[dict[str, int]]]:
-        best = counts.groupBy("item").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("n"), "item").limit(most).collect()
+        each = counts.groupBy("item").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        best = sorted(most_frequent(each, most).collect(), key=lambda r: (-r["n"], r["item"]))
         return [r["item"] for r in best], [r["by"] for r in best]
 
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row for each language
@@ -147,7 +148,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         rows = np.zeros((len(m.words) + KEPT, max(1, len(m.langs))), dtype=np.float64)
-        rows[: len(m.words)] = m.word_rates
+        if m.words:
+            rows[: len(m.words)] = m.word_rates
         seen, free = dict(m.words), [len(m.words)]
         for b in batches:
             got = [m.predict(t, seen, rows, free) for t in b.column(text).to_pylist()]
