@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import classify, compare, document, render, search
+from ..operators import classify, compare, document, render, search, structure
 from ..operators.stats import kernings, weighted_upper_median
-from ..sources import layout
+from ..sources import formats, layout
 from ..sources.layout import SQL as W
 from ..sources.layout import table
+from ..streaming import results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -505,3 +506,144 @@ def alto_page(s, d):
 @plan("session_ndjson")
 def session_ndjson(s, d):
     return render.session(_words(s, d))
+
+
+# Formats: what is written and read again equals what was laid out.
+
+_PLACED = W + 'select doc_id, page, line_ix, word_ix, text, "left", top, "right", bottom, conf from words'
+_PLACED_COLS = ["doc_id", "page", "line_ix", "word_ix", "text", "left", "top", "right", "bottom", "conf"]
+
+
+@plan("hocr_round_trip", _PLACED)
+def hocr_round_trip(s, d):
+    return formats.hocr_words(render.hocr(_words(s, d), 2000, 1050)).select(_PLACED_COLS)
+
+
+@plan("alto_round_trip", W + """, p as (select doc_id, page, par_id, min(line_ix) as first from words group by all), o as (select distinct w.doc_id, w.page, w.par_id, w.line_ix, first from words w join p using (doc_id, page, par_id)),
+n as (select *, row_number() over (partition by doc_id, page order by first, line_ix) - 1 as ix from o)
+select w.doc_id, w.page, ix as line_ix, word_ix, text, "left", top, "right", bottom, conf from words w join n using (doc_id, page, par_id, line_ix)""")
+def alto_round_trip(s, d):
+    return formats.alto_words(render.alto(_words(s, d), 2000, 1050)).select(_PLACED_COLS)
+
+
+@plan("session_round_trip", _PLACED)
+def session_round_trip(s, d):
+    return formats.session_words(render.session(_words(s, d))).select(_PLACED_COLS)
+
+
+@plan("sniffed_formats", """select page_id, case when html like '%<alto%' and html like '%loc.gov%' then 'alto' when html like '%<document name%' then 'stext'
+when regexp_matches(html, 'class=[''"]ocr_page') or html like '%<?xml version%' then 'hocr' end as format from pages""")
+def sniffed_formats(s, d):
+    return table(s, d, "pages").select("page_id", formats.sniff(F.col("html"), F.lit("html")).alias("format"))
+
+
+@plan("routed_files", "select page_id, case when regexp_matches(lower(url), '\\.(hocr|xml|html|gz|stext|json|txt|docx|md)$') then 'ocr' when regexp_matches(lower(url), '\\.(png|jpg|jpeg)$') then 'image' when regexp_matches(lower(url), '\\.pdf$') then 'pdf' else 'other' end as kind from pages")
+def routed_files(s, d):
+    return table(s, d, "pages").select("page_id", formats.route(F.col("url")).alias("kind"))
+
+
+# Structure.
+
+
+@plan("par_breaks_stateless", W + _LINES + """, f as (select *, lag(line_ix) over w as pl, top - lag(bottom) over w as gap, bottom - top as h, lag(line) over w as before, "left" - lag("left") over w as shift, lag("right") over w as pr, max("right") over (partition by doc_id, page) as far from ln window w as (partition by doc_id, page order by line_ix)),
+r as (select *, case when pl is null then 'first' when gap < -h then 'column' when regexp_matches(line, '^([•◦▪*–-]|\\(?\\d{1,3}[.)])\\s') and regexp_matches(before, '[.!?:]\\s*$') then 'list' when gap > 3 * h then 'space' when shift > 50 then 'indent'
+  when pr < 0.7 * far and regexp_matches(before, '[.!?:]\\s*$') then 'early' end as reason from f)
+select doc_id, page, line_ix, (sum((reason is not null)::int) over (partition by doc_id, page order by line_ix) - 1)::bigint as par_ix, reason from r""")
+def par_breaks_stateless(s, d):
+    return structure.paragraph_breaks(render.lines(_words(s, d)))
+
+
+@plan("style_runs", W + """, b as (select *, conf % 5 = 0 as bold from words), n as (select *, case when lag(bold) over w = bold then 0 else 1 end as new from b window w as (partition by doc_id, page, line_ix order by word_ix)),
+r as (select *, sum(new) over (partition by doc_id, page, line_ix order by word_ix) - 1 as run from n)
+select doc_id, page, line_ix, run::bigint as run, bold, string_agg(text, ' ' order by word_ix) as text from r group by all""")
+def style_runs(s, d):
+    return structure.style_runs(_words(s, d).withColumn("bold", F.col("conf") % 5 == 0))
+
+
+@plan("split_lines", W + """, g as (select *, (coalesce("left" - lag("right") over w > bottom - top, false))::int as new from words_c window w as (partition by doc_id, page, line_ix order by word_ix))
+select doc_id, page, line_ix, word_ix, (sum(new) over (partition by doc_id, page, line_ix order by word_ix))::bigint as segment from g""")
+def split_lines(s, d):
+    return structure.split_at_gaps(layout.words_c(_docs(s, d))).select("doc_id", "page", "line_ix", "word_ix", "segment")
+
+
+@plan("running_furniture", W + _LINES + """, e as (select doc_id, page, trim(regexp_replace(lower(line), '\\d+', '#', 'g')) as key from ln where line_ix < 3 or line_ix > 46), n as (select doc_id, count(distinct page) as of from ln group by doc_id)
+select doc_id, key, pages from (select doc_id, key, count(distinct page) as pages from e group by all) join n using (doc_id) where pages >= 3 and pages * 4 >= of""")
+def running_furniture(s, d):
+    return structure.running_furniture(render.lines(_words(s, d)))
+
+
+@plan("line_number_column")
+def line_number_column(s, d):
+    return structure.line_number_runs(render.lines(_words(s, d)).withColumn("line", F.concat_ws(" ", F.col("line_ix") + 1, "line")))
+
+
+@plan("numbering_schemes")
+def numbering_schemes(s, d):
+    return structure.numbering(render.lines(_words(s, d)).withColumn("line", F.concat(F.lit("("), F.col("line_ix") + 1, F.lit(") "), "line")))
+
+
+# A library.
+
+_MANIFEST = """with known as (select 'f' || doc_id || '.txt' as path, md5(text) as hash, n_chars as size, 100 as mtime, case when doc_id % 17 = 0 then 'missing' when doc_id % 5 = 0 then 'error' else 'indexed' end as status,
+  case when doc_id % 5 = 0 then 'interrupted' end as error, doc_id % 10 = 0 as retried from documents where doc_id % 4 <> 0),
+seen as (select case when doc_id % 4 = 0 and doc_id % 8 = 0 then 'new' else 'f' end || doc_id || '.txt' as path, md5(text) as hash, n_chars as size, case when doc_id % 7 = 0 then 101 else 100 end as mtime from documents where doc_id % 3 <> 0),
+diff as (select coalesce(k.path, s.path) as path, coalesce(s.hash, k.hash) as hash, case when k.path is null then 'pending' when s.path is null then 'missing' when k.status = 'missing' then 'returned'
+  when k.size <> s.size or k.mtime <> s.mtime then 'changed' when k.error = 'interrupted' and not k.retried then 'pending' else k.status end as status from known k full join seen s on k.path = s.path)
+"""
+
+
+def _library(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.md5("text").alias("hash"), F.col("n_chars").alias("size"))
+    i = F.col("doc_id")
+    known = docs.where(i % 4 != 0).select(
+        F.concat(F.lit("f"), i, F.lit(".txt")).alias("path"), "hash", "size", F.lit(100).alias("mtime"), F.when(i % 17 == 0, "missing").when(i % 5 == 0, "error").otherwise("indexed").alias("status"),
+        F.when(i % 5 == 0, "interrupted").alias("error"), (i % 10 == 0).alias("retried"),
+    )
+    seen = docs.where(i % 3 != 0).select(F.concat(F.when(i % 8 == 0, "new").otherwise("f"), i, F.lit(".txt")).alias("path"), "hash", "size", F.when(i % 7 == 0, 101).otherwise(100).alias("mtime"))
+    return document.manifest_diff(known, seen)
+
+
+@plan("manifest_diff", _MANIFEST + "select path, hash, status from diff")
+def manifest_diff(s, d):
+    return _library(s, d)
+
+
+@plan("manifest_moves", _MANIFEST + "select p.path, m.moved_from from diff p join (select hash, min(path) as moved_from from diff where status = 'missing' group by hash) m on p.hash = m.hash where p.status = 'pending'")
+def manifest_moves(s, d):
+    return document.moves(_library(s, d))
+
+
+@plan("lru_evict", """with f as (select doc_id::varchar as path, (doc_id * 7919) % 10007 as last_used, n_chars as size from documents), r as (select *, sum(size) over (order by last_used desc, path) as upto from f)
+select path, last_used, size from r where upto > 300000""")
+def lru_evict(s, d):
+    f = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), ((F.col("doc_id") * 7919) % 10007).alias("last_used"), F.col("n_chars").alias("size"))
+    return document.evicted(f, 300_000)
+
+
+# Streams, in their batch form.
+
+
+@plan("page_results", W + """, x as (select distinct doc_id, page from words),
+r as (select doc_id, page, case when (doc_id + page) % 5 = 0 then 'error' when (doc_id + page) % 3 = 0 then 'progress' else 'done' end as kind from x)
+select x.doc_id, x.page, case when kind = 'done' then 'page ' || x.page else '' end as text, case kind when 'done' then 'done' when 'error' then 'failed' else 'missing' end as status from x join r using (doc_id, page)""")
+def page_results(s, d):
+    x = _pg(s, d)
+    n = F.col("doc_id") + F.col("page")
+    r = x.select("doc_id", "page", F.when(n % 5 == 0, "error").when(n % 3 == 0, "progress").otherwise("done").alias("kind"), F.concat(F.lit("page "), "page").alias("text"))
+    return results.settled(x, r)
+
+
+@plan("events_tumbling", "select date_trunc('hour', ts) as window_start, event_type, count(*) as n, sum(value) as total from events group by all")
+def events_tumbling(s, d):
+    return results.tumbling(table(s, d, "events"))
+
+
+@plan("events_session", """with e as (select user_id, ts, case when ts - lag(ts) over w < interval 30 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts)), g as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as n from g group by user_id, k""")
+def events_session(s, d):
+    return results.sessions(table(s, d, "events"))
+
+
+@plan("events_dedupe", "select user_id, event_type, min(ts) as ts, arg_min(event_id, (ts, event_id)) as event_id from events group by all")
+def events_dedupe(s, d):
+    return results.first_of_each(table(s, d, "events"), ["user_id", "event_type"])
