@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import meet, overlap, shared_area
+from ..functions.text import column_name
 
 PAGE = ["doc_id", "page"]
 
@@ -161,3 +162,31 @@ def paged(lines: DataFrame, most: int) -> DataFrame:
     p = lines.groupBy(*PAGE).agg(F.sum(F.length("line") + 1).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("doc_id").orderBy("page"))
     return p.withColumn("upto", upto).where((F.col("upto") <= most) | (F.col("upto") == F.col("n"))).select(*PAGE, "upto")
+
+
+def companions(documents: DataFrame, data: DataFrame) -> DataFrame:
+    """(path, companions): data files (path) of a document's folder whose names begin with its stem.
+
+    A data file's prefixes are few, so the stem meets them by equality.
+    """
+    folder = lambda p: F.regexp_extract(p, r"^(.*/)?", 0)
+    stem = F.lower(F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", ""))
+    d = documents.select("path", folder(F.col("path")).alias("folder"), stem.alias("stem"))
+    name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
+    f = data.select(F.col("path").alias("file"), folder(F.col("path")).alias("folder"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name))), lambda k: F.substring(name, F.lit(1), k))).alias("stem"))
+    return d.join(f, ["folder", "stem"]).groupBy("path").agg(F.sort_array(F.collect_list("file")).alias("companions"))
+
+
+def tables_from_spec(words: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc_id, page, table_ix, col_ix, left, right): columns of tables given by their cells' texts (table_ix, row_ix, col_ix, text), from the words found; bounds lie halfway between neighbours."""
+    hit = words.join(F.broadcast(cells.select("table_ix", "col_ix", F.explode(F.split(F.lower("text"), " ")).alias("key")).distinct()), F.lower(words.text) == F.col("key"))
+    col = hit.groupBy(*PAGE, "table_ix", "col_ix").agg(F.min("left").alias("left"), F.max("right").alias("right"))
+    w = Window.partitionBy(*PAGE, "table_ix").orderBy("col_ix")
+    mid = lambda a, b: F.floor((a + b) / 2 + 0.5)
+    return col.select(*PAGE, "table_ix", "col_ix", F.coalesce(mid(F.lag("right").over(w), F.col("left")), F.col("left")).alias("left"), F.coalesce(mid(F.col("right"), F.lead("left").over(w)), F.col("right")).alias("right"))
+
+
+def sheet_cells(cells: DataFrame) -> DataFrame:
+    """(doc_id, row, ref, text): table cells as a sheet's, rows numbered through all tables and pages."""
+    row = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page", "table_ix", "row_ix"))
+    return cells.where("text <> ''").withColumn("row", row).select("doc_id", "row", F.concat(column_name(F.col("col_ix")), "row").alias("ref"), "text")

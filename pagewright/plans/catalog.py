@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import classify, compare, document, render, search, structure
+from ..operators import classify, compare, document, layers, render, search, structure
 from ..operators.stats import kernings, weighted_upper_median
-from ..sources import formats, layout
+from ..sources import formats, layout, markup
 from ..sources.layout import SQL as W
 from ..sources.layout import table
 from ..streaming import results
@@ -647,3 +647,76 @@ def events_session(s, d):
 @plan("events_dedupe", "select user_id, event_type, min(ts) as ts, arg_min(event_id, (ts, event_id)) as event_id from events group by all")
 def events_dedupe(s, d):
     return results.first_of_each(table(s, d, "events"), ["user_id", "event_type"])
+
+
+# Layers of a page, outlines, sheets, markup.
+
+_GATE = W + """, st as (select doc_id, page, string_agg(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'), '' order by line_ix, word_ix) as stream from words where conf % 2 = 0 group by all),
+f as (select b.*, stream, regexp_replace(lower(b.text), '[^a-z0-9]', '', 'g') as p from words_b b left join st on b.doc_id = st.doc_id and b.page = st.page),
+n as (select *, coalesce(length(p) >= 2 and conf >= 85 and not contains(stream, p), false) as new from f),
+m as (select *, new and regexp_matches(p, '^[a-z]{3,}$') and regexp_matches(p, '[aeiouy]') as word from n),
+l as (select doc_id, page, line_ix, bool_or(stream is null) as bare, count_if(word) as words, sum(case when word then length(p) else 0 end) as chars, count_if(new and regexp_matches(p, '^[0-9]{2,}$')) as numbers from m group by all),
+gate as (select doc_id, page, bool_or(bare) or count_if(words >= 3) >= 2 or sum(numbers) >= 10 or sum(chars) >= 100 as keep from l group by all)
+"""
+
+
+def _gate(s, d):
+    docs = _docs(s, d)
+    native = layout.words(docs).where("conf % 2 = 0")
+    found = layout.words_b(docs)
+    return native, found, layers.adds_new_text(native, found)
+
+
+@plan("ocr_keep_gate", _GATE + "select doc_id, page, keep from gate")
+def ocr_keep_gate(s, d):
+    return _gate(s, d)[2]
+
+
+@plan("combined_layer", _GATE + """, a as (select distinct doc_id, page from words where conf % 2 = 0), b as (select distinct doc_id, page from words_b)
+select doc_id, page, case when (doc_id + page) % 2 = 0 and coalesce(keep, false) and b.doc_id is not null then 'found' when a.doc_id is not null then 'native' else 'blank' end as layer
+from a full join b using (doc_id, page) left join gate using (doc_id, page)""")
+def combined_layer(s, d):
+    native, found, gate = _gate(s, d)
+    mask = found.select("doc_id", "page").distinct().withColumn("recognise", (F.col("doc_id") + F.col("page")) % 2 == 0)
+    return layers.combined(native, found, mask, gate)
+
+
+@plan("outline_remap", _HEADS + """, nest as (select doc_id, node, level, title, page, (select max(q.node) from heads q where q.doc_id = h.doc_id and q.node < h.node and q.level < h.level) as parent from heads h),
+pm as (select doc_id, page as old, row_number() over (partition by doc_id order by page) - 1 as new from (select distinct doc_id, page from words) where page % 2 = 0),
+k as (select nest.*, new from nest left join pm on nest.doc_id = pm.doc_id and page = old)
+select k.doc_id, k.node, case when k.parent is null then null when p1.new is not null then p1.node when p1.parent is null then null when p2.new is not null then p2.node else p2.parent end as parent, k.title, k.new as page
+from k left join k p1 on p1.doc_id = k.doc_id and p1.node = k.parent left join k p2 on p2.doc_id = k.doc_id and p2.node = p1.parent where k.new is not null""")
+def outline_remap(s, d):
+    heads = document.nested(_heads(s, d))
+    return document.outline_remap(heads, document.deletion(_pg(s, d), F.col("page") % 2 == 1))
+
+
+@plan("heading_bookmarks", _HEADS + "select doc_id, node, page, trim(title) as title, least(1, greatest(0, (30 + 20 * (node % 50)) / 1050))::double as y_frac from heads where length(trim(title)) between 1 and 150")
+def heading_bookmarks(s, d):
+    y = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (30 + 20 * (F.col("node") % 50)) / F.lit(1050.0)))
+    return _heads(s, d).where(F.length(F.trim("title")).between(1, 150)).select("doc_id", "node", "page", F.trim("title").alias("title"), y.alias("y_frac"))
+
+
+@plan("sheet_cells", SQL["table_cells"].rsplit("select doc_id, page, table_ix, line_ix", 1)[0] + """, g as (select doc_id, page, table_ix, line_ix % 10 // 2 as row_ix, col_ix, string_agg(text, ' ' order by line_ix, "left", word_ix) as text from cell group by all)
+select doc_id, dense_rank() over (partition by doc_id order by page, table_ix, row_ix) as row, chr((65 + col_ix)::int) || dense_rank() over (partition by doc_id order by page, table_ix, row_ix) as ref, text from g""")
+def sheet_cells(s, d):
+    return document.sheet_cells(table_cells(s, d))
+
+
+@plan("companion_files", """with d as (select 'f' || doc_id || '.pdf' as path, 'f' || doc_id as stem from documents where doc_id % 5 = 0), f as (select 'F' || doc_id || '.hocr' as file from documents)
+select path, array_to_string(list_sort(list(file)), '|') as companions from d join f on starts_with(lower(file), stem) group by path""")
+def companion_files(s, d):
+    docs = _docs(s, d)
+    got = document.companions(docs.where("doc_id % 5 = 0").select(F.concat(F.lit("f"), "doc_id", F.lit(".pdf")).alias("path")), docs.select(F.concat(F.lit("F"), "doc_id", F.lit(".hocr")).alias("path")))
+    return got.select("path", F.array_join("companions", "|").alias("companions"))
+
+
+@plan("markdown_paragraphs")
+def markdown_paragraphs(s, d):
+    return markup.markdown(_docs(s, d))
+
+
+@plan("sentence_ends", W + """, p as (select doc_id, page, line_ix, word_ix, regexp_replace(text, '["'')\\]”’]+$', '') as t from words)
+select doc_id, page, line_ix, word_ix, regexp_matches(t, '[.!?]$') and not lower(t) in ('mr.', 'mrs.', 'ms.', 'dr.', 'prof.', 'st.', 'no.', 'vs.', 'etc.', 'e.g.', 'i.e.', 'inc.', 'ltd.', 'co.', 'jr.', 'sr.', 'fig.', 'vol.') and not regexp_matches(t, '^[A-Z]\\.$') as ends from p""")
+def sentence_ends(s, d):
+    return _words(s, d).select("doc_id", "page", "line_ix", "word_ix", markup.ends_sentence(F.col("text")).alias("ends"))
