@@ -33,20 +33,25 @@ def ingest(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoin
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark on its time, which must then be one with a zone; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, length: str = "1 hour") -> DataFrame:
     """(window_start, event_type, n, total) of events, streamed or not."""
-    kept = events.withWatermark("ts", "10 minutes") if events.isStreaming else events
+    kept = _timed(events, "10 minutes")
     return kept.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, session_start, session_end, n): a user's events with no pause as long as the gap."""
-    kept = events.withWatermark("ts", "10 minutes") if events.isStreaming else events
+    kept = _timed(events, "10 minutes")
     return kept.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
 def first_of_each(events: DataFrame, keys: list[str]) -> DataFrame:
     """Each key's earliest event; in a stream each key's first one within the watermark."""
     if events.isStreaming:
-        return events.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(keys)
+        return _timed(events, "1 hour").dropDuplicatesWithinWatermark(keys)
     return events.groupBy(*keys).agg(F.min(F.struct("ts", "event_id")).alias("e")).select(*keys, "e.*")
