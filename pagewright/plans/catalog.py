@@ -203,7 +203,7 @@ def ocr_page_mask_deep(s, d):
     return classify.select_pages(*_types(s, d), "autoDeep")
 
 
-@plan("ocr_page_mask_shallow", _S + f"select doc_id, page, type = 'image' or (type = 'text' and ({_SCAN} or longest_broken_run >= 100) and not {_LAYER}) as recognise from page_stats join types using (doc_id)")
+@plan("ocr_page_mask_shallow", _S + f"select doc_id, page, type = 'image' or (({_SCAN} or longest_broken_run >= 100) and not {_LAYER}) as recognise from page_stats join types using (doc_id)")
 def ocr_page_mask_shallow(s, d):
     return classify.select_pages(*_types(s, d), "autoShallow", trust=True)
 
