@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, table, written
 
 #: At most so many trusted positives, labelled negatives (for the prior and the scale alone) and unlabelled rows
 #: are fitted on, those with the smallest seeded hashes.
@@ -170,34 +170,31 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     Where every row is labelled, all rows count as unlabelled too.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_h"))
-    n = {bool(r["_label"]): r["count"] for r in docs.select(F.col(key).alias("_key")).join(known, "_key").groupBy((F.col("_label") > 0).alias("_label")).count().collect()}
-    n_pos, n_neg = n.get(True, 0), n.get(False, 0)
-    if not n_pos:
+    hashed = F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("_h")
+    kind = F.when(F.col("_label").isNull(), "unlabelled").when(F.col("_label") > 0, "positive").otherwise("negative")
+    keys = written(docs.select(F.col(key).alias("_key"), hashed).join(known, "_key", "left").select("_key", "_h", kind.alias("_kind")), "kinds")
+    n = {r["_kind"]: r["count"] for r in keys.groupBy("_kind").count().collect()}
+    if not n.get("positive"):
         return None
+    most = {"positive": MAX_POSITIVE, "negative": MAX_NEGATIVE, "unlabelled": MAX_UNLABELLED}
+    first = [keys.where(F.col("_kind") == k).orderBy("_h", "_key").limit(m) for k, m in most.items()]
+    chosen = F.broadcast(first[0].unionByName(first[1]).unionByName(first[2]).dropDuplicates(["_key"]))  # no more rows than the three bounds
+    rows = written(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).join(chosen, "_key").select("_kind", "_h", "_text").mapInArrow(_rows_features, "_kind string, _h long, x binary"), "features")
 
-    def taken(of: DataFrame, share: float, most: int) -> np.ndarray:
-        """The rows with the smallest hashes: a share that holds enough of them is cut off first, so that texts of few rows move."""
-        limit = F.lit(int(-(2**63) + min(1.0, share) * (2**64 - 1)) if share < 1 else 2**63 - 1)
-        small = of.where(F.col("_h") <= limit).mapInArrow(_rows_features, "_h long, x binary").orderBy("_h", "x").limit(most)
-        got = [np.frombuffer(r["x"], dtype=np.float32) for r in small.collect()]
+    def taken(k: str) -> np.ndarray:
+        got = [np.frombuffer(r["x"], dtype=np.float32) for r in rows.where(F.col("_kind") == k).orderBy("_h", "x").limit(most[k]).collect()]
         return np.array(got, dtype=np.float32).reshape(len(got), N_FEATURES)
 
-    labelled = rows.join(known, "_key")
-    total = docs.count()
-    room = lambda most, there: 2.0 * most / max(1, there)
-    pos = taken(labelled.where("_label > 0"), room(MAX_POSITIVE, n_pos), MAX_POSITIVE)
-    neg = taken(labelled.where("_label <= 0"), room(MAX_NEGATIVE, n_neg), MAX_NEGATIVE)
-    unl = taken(rows.join(known, "_key", "left_anti"), room(MAX_UNLABELLED, total - n_pos - n_neg), MAX_UNLABELLED)
+    pos, neg, unl = taken("positive"), taken("negative"), taken("unlabelled")
     if not len(unl):
         unl = np.concatenate([pos, neg])
-    return fit_nnpu(pos, unl, estimate_prior(pos, unl, n_pos, n_neg, seed), neg, seed)
+    return fit_nnpu(pos, unl, estimate_prior(pos, unl, n["positive"], n.get("negative", 0), seed), neg, seed)
 
 
 def _rows_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [features(t).tobytes() for t in b.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("_h"), pa.array(x, pa.binary())], names=["_h", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("_kind"), b.column("_h"), pa.array(x, pa.binary())], names=["_kind", "_h", "x"])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
