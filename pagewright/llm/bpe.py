@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import most_frequent, table, written
 from .lexicon import Lexicon, compile_lexicon
 
-#: Words in the lexicon, and words whose ids a worker keeps at hand.
-MAX_LEXICON, MAX_KEPT, FLUSH, SLICE = 65_536, 250_000, 400_000, 256
+#: Words in the lexicon, pieces whose ids a worker keeps at hand, pieces that it counts at once, texts that it returns at once.
+MAX_LEXICON, MAX_KEPT, FLUSH, SLICE = 65_536, 400_000, 400_000, 256
 #: The end of a word, and the white space of Unicode.
 END = "</w>"
 SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+#: What str.split() takes for white space besides.
+ODD = re.compile("[\x1c-\x1f]")
+
+
 def _class(kind: str) -> str:
     """The code points of a general category as the inside of a character class."""
     out, start = [], None
@@ -42,7 +47,7 @@ def _class(kind: str) -> str:
 @lru_cache(maxsize=1)
 def pre_token() -> re.Pattern:
     letters, digits = _class("L"), _class("N")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{SPACE}{letters}{digits}]+")
+    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^{SPACE}{letters}{digits}]+")
 
 
 def byte_chars() -> list[str]:
@@ -57,9 +62,11 @@ class Tokenizer:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        self.digest = hashlib.sha256(text.encode()).hexdigest()
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.rank_of = {self.vocab[a] << 20 | self.vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = [""] * (1 + max([*self.vocab.values(), *self.added.values()]))
         for x, i in [*self.vocab.items(), *self.added.items()]:
@@ -73,32 +80,47 @@ class Tokenizer:
         """The ids of a word by its merges: the lowest rank first, from the left."""
         ids = [self.one[b] for b in word[:-1]] + [self.last[word[-1]]]
         ids = [i for i in ids if i is not None]
-        n, ranks = len(ids), self.ranks
-        if n < 2:
-            return ids
+        return self._merge_long(ids) if len(ids) > 100 else self._merge_short(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get, never = self.rank_of.get, len(self.made)
+        ranks = [get(a << 20 | b, never) for a, b in zip(ids, ids[1:])]
+        while ranks and (r := min(ranks)) < never:
+            i = ranks.index(r)
+            ids[i] = self.made[r]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], never)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], never)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        n, get = len(ids), self.rank_of.get
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := ranks.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = ranks[a, b][1], -1
+            ids[i], ids[j] = self.made[r], -1
             right[i] = k = right[j]
             if k >= 0:
                 left[k] = i
-                if m := ranks.get((ids[i], ids[k])):
-                    heapq.heappush(heap, (m[0], i, ids[i], ids[k]))
-            if (h := left[i]) >= 0 and (m := ranks.get((ids[h], ids[i]))):
-                heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
+                if (r := get(ids[i] << 20 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i, ids[i], ids[k]))
+            if (h := left[i]) >= 0 and (r := get(ids[h] << 20 | ids[i])) is not None:
+                heapq.heappush(heap, (r, h, ids[h], ids[i]))
         return [x for x in ids if x != -1]
 
-    def words(self, text: str) -> list[str]:
-        """The words of a stretch of text without added tokens, normalised."""
+    def pieces(self, text: str) -> list[str]:
+        """What white space parts in a stretch of text without added tokens, normalised; words never reach beyond it."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # else lower() would look at its place
-        return pre_token().findall(text.lower())
+        text = text.lower()
+        return re.split(f"[{SPACE}]+", text) if ODD.search(text) else text.split()
 
     def stretches(self, text: str) -> Iterator[tuple[str, bool]]:
         """Stretches of text and added tokens in turn."""
@@ -110,28 +132,51 @@ class Tokenizer:
 
 
 class Ids(dict):
-    """Words to their ids in bytes: from the lexicon, or else merged. It starts anew when it has grown to its bound."""
+    """Pieces of text to the ids of their words, in bytes: each word from the lexicon, or else merged.
+
+    It starts anew when it has grown to its bound.
+    """
 
     def __init__(self, tok: Tokenizer, lexicon: Lexicon):
         super().__init__()
-        self.tok, self.lexicon = tok, lexicon
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_KEPT:
-            self.clear()
-        raw = word.encode("utf-8", "replace")
-        out = self.lexicon.get(raw)
-        if out is None:
-            out = np.array(self.tok.merge(raw), dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
+        self.tok, self.lexicon, self.words = tok, lexicon, pre_token()
+
+    def word(self, raw: bytes) -> bytes:
+        found = self.lexicon.get(raw)
+        return _bytes(self.tok.merge(raw)) if found is None else found
+
+    def __missing__(self, piece: str) -> bytes:
+        out = b"".join([self.word(w.encode("utf-8", "replace")) for w in self.words.findall(piece)])
+        if len(piece) <= 64:
+            if len(self) >= MAX_KEPT:
+                self.clear()
+            self[piece] = out
         return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+_worker: dict[str, Ids] = {}
+
+
+def _ids_here(tok: Tokenizer, data: bytes) -> Ids:
+    """One table for all tasks that a worker runs with the same tokenizer and lexicon."""
+    key = f"{hashlib.sha256(data).hexdigest()} {tok.digest}"
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = Ids(tok, Lexicon(data))
+    return _worker[key]
+
+
 def encode_text(text: str | None, ids: Ids) -> bytes:
     tok, out = ids.tok, []
     for part, added in tok.stretches(text or ""):
-        out.append(tok.added[part].to_bytes(4, "little") if added else b"".join(map(ids.__getitem__, tok.words(part))))
+        out.append(tok.added[part].to_bytes(4, "little") if added else b"".join(map(ids.__getitem__, tok.pieces(part))))
     return b"".join(out)
 
 
@@ -140,28 +185,32 @@ def decode_ids(ids: bytes, names: list[str]) -> str:
 
 
 def frequent(docs: DataFrame, tok: Tokenizer, text: str = "text", most: int = MAX_LEXICON) -> list[str]:
-    """The words that occur most often in all texts, ties by code point."""
+    """The words that occur most often in all texts, `most` at most."""
     shared = docs.sparkSession.sparkContext.broadcast(tok)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, counts = shared.value, Counter()
+        t, pieces = shared.value, Counter()
 
         def rows() -> pa.RecordBatch:
+            counts: Counter = Counter()
+            for piece, n in pieces.items():
+                for w in pre_token().findall(piece):
+                    counts[w] += n
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
         for b in batches:
             for x in b.column(0).to_pylist():
                 for part, added in t.stretches(x):
                     if not added:
-                        counts.update(t.words(part))
-                if len(counts) > FLUSH:
+                        pieces.update(t.pieces(part))
+                if len(pieces) > FLUSH:
                     yield rows()
-                    counts = Counter()
+                    pieces = Counter()
         yield rows()
 
     counts = docs.select(F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(count, "word string, n long")
-    best = counts.groupBy("word").agg(F.sum("n").alias("n")).where("length(word) <= 64").orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in best.collect()]
+    best = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where("length(word) <= 64"), "words")
+    return [r["word"] for r in most_frequent(best, most).collect()]
 
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon: list[str] | None = None, decode: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -181,7 +230,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, data = shared.value
-        ids = Ids(t, Lexicon(data))
+        ids = _ids_here(t, data)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
                 part = b.slice(at, SLICE)
