@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, fold, table, written
+from .common import ASCII_LOWER, fold, most_frequent, table, written
 
 #: Latent states; words with an emission of their own; classes, by their last bytes, of all other words; words
 #: whose counts are broadcast (the rest are joined); documents that the first guess is made from; full passes.
 STATES, OWN, CLASSES, HEAD, FIRST_DOCS, FIRST_ROUNDS, PASSES = 8, 24_000, 2_048, 200_000, 1_200, 12, 2
 SYMBOLS = 1 + OWN + CLASSES
 END = b" "  # no word is a blank
-FLUSH, CELLS = 400_000, 65_536
+FLUSH, CELLS, SLICE = 400_000, 262_144, 4_096
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,7 +77,7 @@ def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of all rows of a text column, and all counts as a table (word, n)."""
     counts = written(texts.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     plain = counts.where(F.col("word") != F.lit(END))
-    head = plain.orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    head = sorted(most_frequent(plain, HEAD).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
     total = counts.agg(F.sum("n"), F.count("*")).first()
     end = counts.where(F.col("word") == F.lit(END)).first()
     by_class = np.zeros((CLASSES, 2))
@@ -261,8 +261,8 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
         m = shared.value
         counts, moves, starts = np.zeros((SYMBOLS, k)), np.zeros((k, k)), np.zeros(k)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                seqs = _sequences(b.column(0).slice(at, 2048))
+            for at in range(0, b.num_rows, SLICE):
+                seqs = _sequences(b.column(0).slice(at, SLICE))
                 for part in _bundles(seqs):
                     expected([seqs[i] for i in part], m, counts, moves, starts)
         used = np.flatnonzero(counts.sum(axis=1) > 0)
@@ -310,8 +310,8 @@ def score(docs: DataFrame, learned: Column, text: str = "text", seed: int = 3) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = told.value
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
                 seqs, out = _sequences(part.column("symbols")), np.zeros(part.num_rows)
                 for own_rows in _bundles(seqs):
                     out[own_rows] = forward([seqs[i] for i in own_rows], m)[0] / np.log(10)
