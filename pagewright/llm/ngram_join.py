@@ -20,6 +20,8 @@ from .components import components
 WORDS, NUM, DEN = 5, 3, 4
 #: Documents and shingles in a chunk of the first pass, shingles in a bucket, bits of the filter that is broadcast.
 CHUNK_DOCS, CHUNK_SHINGLES, BUCKET_SHINGLES, FILTER_BITS = 2048, 1_000_000, 3_000_000, 1 << 24
+#: Bits of the parities that bound how far two sets are apart.
+PARITIES = 1024
 #: The global orders besides that by frequency: each sorts tokens by the bits that its number mixes.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NOBODY = 0xFFFF
@@ -53,6 +55,15 @@ def identity(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of PARITIES places whether an odd number of a set's tokens fall on it, as 64-bit numbers.
+
+    Tokens that both sets have cancel out, so two sets differ in at least as many tokens as their parities in bits.
+    """
+    at = np.bincount((tokens >> np.uint64(20)) % np.uint64(PARITIES), minlength=PARITIES) % 2
+    return np.packbits(at.astype(bool)).view(np.int64)
+
+
 _PASS = "chunk long, ix int, id long, n long, same binary, shared long, bucket int, hashes binary, owners binary"
 
 
@@ -171,7 +182,7 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(cid, id, n, tokens) of the wanted classes. A filter of fixed size, broadcast, lets through the texts of
+    """(cid, same, id, n, tokens, bits) of the wanted classes. A filter of fixed size, broadcast, lets through the texts of
     their least ids, and few others; the join that follows is exact."""
     place = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))), F.lit(FILTER_BITS))
     bits = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
@@ -187,13 +198,13 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             hit = np.flatnonzero(f[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1))
             for at in range(0, len(hit), 512):
                 sets = [shingles(t) for t in b.column(1).take(pa.array(hit[at : at + 512])).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["same", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], names=["same", "tokens", "bits"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).select(place.alias("p"), "text")
-    found = rows.mapInArrow(run, "same binary, tokens array<long>").join(wanted.select("same"), "same", "left_semi")
-    one = found.groupBy("same").agg(F.first("tokens").alias("tokens")).join(wanted, "same")
+    found = rows.mapInArrow(run, "same binary, tokens array<long>, bits array<long>").join(wanted.select("same"), "same", "left_semi")
+    one = found.groupBy("same").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).join(wanted, "same")
     cid = F.conv(F.hex(F.substring("same", 1, 7)), 16, 10).cast("long")
-    return written(one.select(cid.alias("cid"), "same", "id", "n", "tokens"), "sets")
+    return written(one.select(cid.alias("cid"), "same", "id", "n", "tokens", "bits"), "sets")
 
 
 def _prefix(n: Column) -> Column:
@@ -222,6 +233,13 @@ def _reachable(a: str, b: str) -> Column:
     return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (F.least(f"{a}.most", f"{b}.most") * (NUM + DEN) >= need)
 
 
+def _near_enough(a: str, b: str) -> Column:
+    """Whether the bits in which two sets' parities differ leave them a chance."""
+    apart = sum((F.bit_count(F.get(f"{a}.bits", F.lit(k)).bitwiseXOR(F.get(f"{b}.bits", F.lit(k)))) for k in range(1, PARITIES // 64)), F.bit_count(F.get(f"{a}.bits", F.lit(0)).bitwiseXOR(F.get(f"{b}.bits", F.lit(0)))))
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return (both - apart) * (NUM + DEN) >= both * (2 * NUM)
+
+
 def shares_prefix(a: np.ndarray, b: np.ndarray, order: int) -> bool:
     """Whether two sets share a prefix token under the order that a number mixes."""
     firsts = []
@@ -260,7 +278,7 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Sets that share a prefix token are first compared with the one among them whose tokens are most common, a
     copy's likely source. What that connects needs no comparing; then every pair that shares a prefix token, is
-    not connected yet and may reach the similarity is compared, so no component is missed and a group of copies
+    not connected yet and may reach the similarity, by the sets' sizes, parities and tokens of their own, is compared, so no component is missed and a group of copies
     makes as many pairs as it has members.
     """
     posts = postings(sets)
@@ -272,10 +290,10 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = posts.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     now = written(now, "postings")
     spread = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", F.struct("rank", "cid")).alias("main")).where("low != high")
-    still = written(now.join(spread.select("token", "main"), "token"), "open")
+    still = written(now.join(spread.select("token", "main"), "token").join(sets.select("cid", "bits"), "cid"), "open")
     few, all_ = still.where("comp != main").alias("p"), still.alias("q")
     apart = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cid") < F.col("q.cid")))
-    more = few.join(all_, F.col("p.token") == F.col("q.token")).where(apart & _reachable("p", "q"))
+    more = few.join(all_, F.col("p.token") == F.col("q.token")).where(apart & _reachable("p", "q") & _near_enough("p", "q"))
     rest = more.select(F.least("p.cid", "q.cid").alias("a"), F.greatest("p.cid", "q.cid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     second = written(verified(written(rest, "pairs"), sets), "links")
     every = first.unionByName(second)
