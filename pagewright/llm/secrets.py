@@ -67,10 +67,10 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: str
     copied example. Base spans always stay; an opaque span stays only if it is live. Places are code points,
     end exclusive. Null and empty texts have no spans; a null owner is one owner, a null repository likewise;
     repeated rows give repeated results and count once for their repository. Columns that docs has besides are
-    kept, but for names that begin with an underscore. The values are hashed before rows are dealt out, and the counts of a hash are
+    kept, but one named spans is replaced. The values are hashed before rows are dealt out, and the counts of a hash are
     summed in parts, so a value in a third of all rows meets in no one task.
     """
-    own = [c for c in docs.columns if c != text and not c.startswith("_")]
+    own = [c for c in docs.columns if c != text and c.lower() != "spans"]
     loaded = candidates(docs.select(*(F.col(c).alias(f"in_{i}") for i, c in enumerate(own)), F.col(owner).cast("string").alias("_owner"), F.col(repo).cast("string").alias("_repo"), F.col(text).alias("_text")), "_text")
     hashed = F.transform(F.concat("_base", "_loose"), lambda s: F.struct(s["kind"].alias("kind"), s["ord"].alias("ord"), s["start"].alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
     kept = written(loaded.select(*(f"in_{i}" for i in range(len(own))), "_owner", "_repo", hashed.alias("_spans"), F.monotonically_increasing_id().alias("_row")), "spans")
@@ -91,8 +91,9 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: s
     Overlapping spans become one, live if one of them is. The columns and their order stay; null text stays null.
     """
     cols = docs.columns
-    found = scan(docs.withColumn("pagewright_text", F.col(text)), owner, repo, text, widely)
-    t = F.coalesce("pagewright_text", F.lit(""))
+    at = {c: f"c_{i}" for i, c in enumerate(cols)}
+    found = scan(docs.select(*(F.col(c).alias(n) for c, n in at.items()), F.col(text).alias("kept")), at[owner], at[repo], at[text], widely)
+    t = F.coalesce("kept", F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
         mark = F.when(s["live"], F.lit("[secret]")).otherwise(F.lit("[example]"))
@@ -101,8 +102,8 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: s
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], before, mark)).alias("out"))
 
     done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    new = F.when(F.size("spans") > 0, done).otherwise(F.col("pagewright_text"))
-    return found.select(*(new.alias(c) if c == text else F.col(c) for c in cols))
+    new = F.when(F.size("spans") > 0, done).otherwise(F.col("kept"))
+    return found.select(*(new.alias(c) if c == text else F.col(n).alias(c) for c, n in at.items()))
 
 
 def _listed(spans: Column) -> Column:
