@@ -40,3 +40,24 @@ def test_rows_are_kept_when_the_table_is_full():
     small, large = np.zeros((3, 2)), np.zeros((50, 2))
     t = "a b aa bb ab ba aab abb"
     assert m.predict(t, {}, small, [0]) == m.predict(t, {}, large, [0])
+
+
+def test_words_and_grams_beyond_the_bounds_count_as_seen(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, text(rng, lang), lang) for i in range(300) for lang in [rng.choice(list(SYLLABLES))]] + [(300, None, "aa"), (301, "123", "bb"), (302, "zzz qqq", None), (303, "the " * 5_000 + "Osque", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = docs.where("doc_id % 3 <> 0")
+    whole = langid.fit(learned)
+    want = {r["doc_id"]: r for r in langid.predict(docs, whole).collect()}
+    monkeypatch.setattr(langid, "MAX_WORDS", 5)
+    monkeypatch.setattr(langid, "MAX_GRAMS", 5)
+    model = langid.fit(learned)
+    for words, hits, n_rows in ((60_000, 1_000_000, 20_000), (7, 1_000_000, 20_000), (60_000, 3, 20_000), (60_000, 1_000_000, 4)):
+        monkeypatch.setattr(langid, "CHUNK_WORDS", words)
+        monkeypatch.setattr(langid, "CHUNK_HITS", hits)
+        monkeypatch.setattr(langid, "CHUNK_ROWS", n_rows)
+        got = langid.predict(docs, model).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["lang_pred"] == want[r["doc_id"]]["lang_pred"] and np.isclose(r["score"], want[r["doc_id"]]["score"], atol=1e-9)
+    assert langid.predict(docs.limit(0), model).count() == 0
