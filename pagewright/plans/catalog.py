@@ -711,6 +711,13 @@ def companion_files(s, d):
     return got.select("path", F.array_join("companions", "|").alias("companions"))
 
 
+@plan("companion_files_all")
+def companion_files_all(s, d):
+    docs = _docs(s, d)
+    got = document.companions(docs.select(F.concat(F.lit("f"), "doc_id", F.lit(".pdf")).alias("path")), docs.select(F.concat(F.lit("F"), "doc_id", F.lit(".hocr")).alias("path")))
+    return got.select("path", F.array_join("companions", "|").alias("companions"))
+
+
 @plan("markdown_paragraphs")
 def markdown_paragraphs(s, d):
     return markup.markdown(_docs(s, d))
