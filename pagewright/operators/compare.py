@@ -64,6 +64,36 @@ def several_to_one(a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs(two, b).where(fits).select("doc_id", "page", "a_line", "a_word", "b_line", "b_word", "a_text", "b_text", "same")
 
 
+def _runs(words: DataFrame, most: int) -> DataFrame:
+    """words with run1, right1, ...: the text and right edge of the run of the word and the next one, two, ... of its line; null where the line ends."""
+    line = Window.partitionBy("doc_id", "page", "line_ix").orderBy("word_ix")
+    text = lambda k: F.concat(*(F.col("text") if i == 0 else F.lead("text", i).over(line) for i in range(k + 1)))
+    return words.withColumns({f"run{k}": text(k) for k in range(1, most + 1)} | {f"right{k}": F.lead("right", k).over(line) for k in range(1, most + 1)})
+
+
+def k_to_one(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Runs of one layer's words against one word of the other: (first words' keys, n_a and n_b words, the texts run together, agreement).
+
+    Only words that meet, differ in text and are not one to one count. Where a's word ends first, it and the next
+    of a are tried against b's word; otherwise a's word against four, three and two words of b, the longest
+    first. The edges may differ by less than a tenth of the run's width, as measured from a's left edge.
+    """
+    found = meet(shrunk(_runs(a, 1), 0.1), shrunk(_runs(b, 3), 0.1), PAGE).select(
+        "a.doc_id", "a.page", *(F.col(f"{t}.{c}_ix").alias(f"{t}_{c}") for t in "ab" for c in ("line", "word")), *(F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("text", "left", "right", "run1", "right1")),
+        *(F.col(f"b.{c}{k}").alias(f"b_{c}{k}") for k in (2, 3) for c in ("run", "right")),
+    )
+    off = F.abs(F.col("a_left") - F.col("b_left"))
+    fits = lambda run, one: F.coalesce(off + F.abs(F.col(run) - F.col(one)) < 0.1 * (F.col(run) - F.col("a_left")), F.lit(False))
+    ends_first = F.col("a_right") < F.col("b_right")
+    n_a = F.when(ends_first & fits("a_right1", "b_right"), 2).when(~ends_first, 1)
+    n_b = F.when(ends_first, 1).when(fits("b_right3", "a_right"), 4).when(fits("b_right2", "a_right"), 3).when(fits("b_right1", "a_right"), 2)
+    a_text = F.when(n_a == 2, F.col("a_run1")).otherwise(F.col("a_text"))
+    b_text = F.when(n_b == 4, F.col("b_run3")).when(n_b == 3, F.col("b_run2")).when(n_b == 2, F.col("b_run1")).otherwise(F.col("b_text"))
+    return found.where((F.col("a_text") != F.col("b_text")) & ~one_to_one(found) & n_a.isNotNull() & n_b.isNotNull()).select(
+        "doc_id", "page", "a_line", "a_word", "b_line", "b_word", n_a.alias("n_a"), n_b.alias("n_b"), a_text.alias("a_text"), b_text.alias("b_text"), (a_text == b_text).alias("same")
+    )
+
+
 def assigned(base: DataFrame, other: DataFrame) -> DataFrame:
     """Each word of other with the one word of base that covers most of it, half at least; ties go to the first in reading order."""
     cover = overlap("b", "a")

@@ -106,6 +106,11 @@ def k_to_one_pairs(s, d):
     return compare.several_to_one(*_layers(s, d, layout.words_d))
 
 
+@plan("k_to_one_pairs_all")
+def k_to_one_pairs_all(s, d):
+    return compare.k_to_one(*_layers(s, d, layout.words_e))
+
+
 _ASSIGNED = """, cover as (
   select '{o}' as layer, b.doc_id, b.page, b.line_ix as o_line, b.word_ix as o_word, b.text as o_text, b."left" as o_left, a.line_ix, a.word_ix,
     greatest(0, least(a."right", b."right") - greatest(a."left", b."left")) * greatest(0, least(a.bottom, b.bottom) - greatest(a.top, b.top)) / ((b."right" - b."left") * (b.bottom - b.top))::double as c

@@ -69,6 +69,17 @@ def words_d(docs: DataFrame) -> DataFrame:
     return a.where(~joined).unionByName(pairs.select(a.columns))
 
 
+def words_e(docs: DataFrame) -> DataFrame:
+    """Layer E: layer D, and words of eight letters or more split into two to four touching pieces where a modulus says so."""
+    n = F.when((F.length("text") >= 8) & ((F.col("doc_id") + F.col("ls") + F.col("word_ix")) % 3 == 0), 2 + (F.col("doc_id") + F.col("word_ix")) % 3).otherwise(1).cast("int")
+    size = F.ceil(F.length("text") / n).cast("int")
+    cut = words_d(docs).withColumns({"n": n, "size": size}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    last, left = F.col("i") == F.col("n") - 1, F.col("left") + CELL * F.col("i") * F.col("size")
+    right = F.when(last, F.col("right")).otherwise(left + CELL * F.col("size"))
+    text = F.substring("text", F.col("i") * F.col("size") + 1, F.when(last, F.length("text")).otherwise(F.col("size")))
+    return cut.select(*(x.alias(c) for c, x in zip(("text", "left", "right", "word_ix"), (text, left, right, F.col("word_ix") * 4 + F.col("i")))), *(c for c in cut.columns if c not in ("text", "left", "right", "word_ix", "n", "size", "i")))
+
+
 def chars(docs: DataFrame) -> DataFrame:
     """(word's key, char_ix, ch, left, right, top, bottom): cells of ten pixels with a jitter of up to two."""
     w = words(docs)
