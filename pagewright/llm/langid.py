@@ -194,7 +194,7 @@ def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
 
-def _chunks(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(shared, bounds: tuple[int, int, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the sum over its bounded words and the places of all others in a list that the chunk's last row carries."""
     m = shared.value
     chunk = TaskContext.get().partitionId() << 32
@@ -221,7 +221,7 @@ def _chunks(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             sums.append(m.word_rates[at].sum(axis=0) if at else zero)
             places.append(np.array(other, dtype=np.int32))
             hits += len(other)
-            if len(lack) >= CHUNK_WORDS or hits >= CHUNK_HITS or len(letters) >= CHUNK_ROWS:
+            if len(lack) >= bounds[0] or hits >= bounds[1] or len(letters) >= bounds[2]:
                 kept.append(plain.slice(start, i + 1 - start))
                 yield rows()
                 kept, letters, sums, places, lack, hits, start, chunk = [], [], [], [], {}, 0, i + 1, chunk + 1
@@ -247,7 +247,8 @@ def _joined(plain: DataFrame, model: Model, shared, carried: list[str], shape: s
     """Where they are not: each chunk's other words meet the whole table of words; those that are not in it, the whole table of n-grams."""
     words, gram_table = model.whole
     r = [f"r{i}" for i in range(len(model.langs))]
-    chunks = written(plain.mapInArrow(lambda x: _chunks(shared, x), ", ".join([*carried, "chunk long, letters boolean, head array<double>, places array<int>, lack array<string>"])), "chunks")
+    bounds = CHUNK_WORDS, CHUNK_HITS, CHUNK_ROWS
+    chunks = written(plain.mapInArrow(lambda x: _chunks(shared, bounds, x), ", ".join([*carried, "chunk long, letters boolean, head array<double>, places array<int>, lack array<string>"])), "chunks")
     lack = chunks.where("lack is not null").select(F.col("chunk").alias("of_chunk"), F.posexplode("lack").alias("k", "word"))
     unseen = lack.select("word").distinct().join(words.select(F.col("item").alias("word")), "word", "left_anti")
     parts = written(unseen.mapInArrow(lambda x: _parts(shared, x), "word string, order int, n long, lack array<string>, " + ", ".join(f"{c} double" for c in r)), "parts")
