@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from .common import most_frequent, table, written
 from .lexicon import Lexicon, compile_lexicon
 
-#: Words in the lexicon, pieces whose ids a worker keeps at hand, pieces that it counts at once, texts that it returns at once.
-MAX_LEXICON, MAX_KEPT, FLUSH, SLICE = 65_536, 400_000, 400_000, 256
+#: Words in the lexicon, pieces and words whose ids a worker keeps at hand, pieces that it counts at once.
+MAX_LEXICON, MAX_KEPT, FLUSH = 65_536, 200_000, 400_000
+#: Texts and characters that are encoded together; words merged together, up to that many bytes each (longer ones alone).
+SLICE, SLICE_CHARS, ABREAST, SHORT = 1024, 2_000_000, 16_384, 32
 #: The end of a word, and the white space of Unicode.
 END = "</w>"
 SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -76,6 +79,63 @@ class Tokenizer:
         self.one = [self.vocab.get(c) for c in chars]
         self.last = [self.vocab.get(c + END) for c in chars]
 
+        keys = np.array(list(self.rank_of), dtype=np.int64)
+        by_key = np.argsort(keys)
+        self._keys, self._ranks = keys[by_key], np.array(list(self.rank_of.values()), dtype=np.int64)[by_key]
+        self._made = np.array([*self.made, 0], dtype=np.int64)
+        whole = None not in self.one and None not in self.last
+        self._one, self._last = (np.array(x, dtype=np.int64) for x in (self.one, self.last)) if whole else (None, None)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids (-1: no id), len(made) where they don't merge."""
+        key = np.where(right >= 0, left << 20 | right, -1)
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[at] == key, self._ranks[at], len(self.made))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words in bytes: short ones abreast, each taking its next merge at every step, the others one by one."""
+        out: list[bytes] = [b""] * len(words)
+        abreast = [i for i, w in enumerate(words) if 0 < len(w) <= SHORT] if self._one is not None and len(self._keys) else []
+        abreast.sort(key=lambda i: len(words[i]))
+        for k in range(0, len(abreast), ABREAST):
+            some = abreast[k : k + ABREAST]
+            for i, ids in zip(some, self._merge_abreast([words[i] for i in some])):
+                out[i] = ids
+        for i in set(range(len(words))).difference(abreast):
+            out[i] = _bytes(self.merge(words[i])) if words[i] else b""
+        return out
+
+    def _merge_abreast(self, words: list[bytes]) -> list[bytes]:
+        size, never = np.fromiter(map(len, words), dtype=np.int64, count=len(words)), len(self.made)
+        width = int(size.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
+        place = np.arange(width)
+        ids = np.where(place < size[:, None] - 1, self._one[raw], np.where(place == size[:, None] - 1, self._last[raw], -1))
+        done = np.full_like(ids, -1)
+        rows, ranks = np.arange(len(words)), self._rank(ids[:, :-1], ids[:, 1:])
+        while len(rows):
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), dtype=np.int64)
+            best = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), never)
+            over = best == never
+            done[rows[over], : ids.shape[1]] = ids[over]
+            go = ~over
+            rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
+            if not len(rows):
+                break
+            each, width = np.arange(len(rows)), ids.shape[1]
+            ids[each, at] = self._made[best]
+            after = np.arange(width - 1)  # what stands right of the merged pair moves up
+            ids = np.take_along_axis(ids, after + (after > at[:, None]), axis=1)
+            pairs = np.arange(width - 2)
+            ranks = np.take_along_axis(ranks, pairs + (pairs >= at[:, None]), axis=1)
+            for shift in (-1, 0):  # the pairs that the new id makes
+                here = np.flatnonzero((at + shift >= 0) & (at + shift < width - 2))
+                left = at[here] + shift
+                ranks[here, left] = self._rank(ids[here, left], ids[here, left + 1])
+        n = (done >= 0).sum(axis=1)
+        flat, ends = done[done >= 0].astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word by its merges: the lowest rank first, from the left."""
         ids = [self.one[b] for b in word[:-1]] + [self.last[word[-1]]]
@@ -134,24 +194,32 @@ class Tokenizer:
 class Ids(dict):
     """Pieces of text to the ids of their words, in bytes: each word from the lexicon, or else merged.
 
-    It starts anew when it has grown to its bound.
+    What it lacks is learned for many texts at once; it starts anew when it has grown to its bound.
     """
 
     def __init__(self, tok: Tokenizer, lexicon: Lexicon):
         super().__init__()
-        self.tok, self.lexicon, self.words = tok, lexicon, pre_token()
-
-    def word(self, raw: bytes) -> bytes:
-        found = self.lexicon.get(raw)
-        return _bytes(self.tok.merge(raw)) if found is None else found
-
-    def __missing__(self, piece: str) -> bytes:
-        out = b"".join([self.word(w.encode("utf-8", "replace")) for w in self.words.findall(piece)])
-        if len(piece) <= 64:
-            if len(self) >= MAX_KEPT:
-                self.clear()
-            self[piece] = out
-        return out
+        self.tok, self.lexicon, self.pattern, self.words = tok, lexicon, pre_token(), {}
+
+    def learn(self, pieces: set[str]) -> None:
+        lack = pieces.difference(self)
+        if len(self) + len(lack) > MAX_KEPT:
+            self.clear()
+            lack = pieces
+        if 2 * len(self.words) > MAX_KEPT:
+            self.words.clear()
+        parts = {p: self.pattern.findall(p) for p in lack}
+        new = list({w for ws in parts.values() for w in ws}.difference(self.words))
+        raw = [w.encode("utf-8", "replace") for w in new]
+        found = self.lexicon.find(raw).tolist()
+        rest = [i for i, r in enumerate(found) if r < 0]
+        for i, ids in zip(rest, self.tok.merge_all([raw[i] for i in rest])):
+            self.words[new[i]] = ids
+        for i, r in enumerate(found):
+            if r >= 0:
+                self.words[new[i]] = self.lexicon.ids(r)
+        get = self.words.__getitem__
+        self.update((p, b"".join(map(get, ws))) for p, ws in parts.items())
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -173,11 +241,28 @@ def _ids_here(tok: Tokenizer, data: bytes) -> Ids:
     return _worker[key]
 
 
-def encode_text(text: str | None, ids: Ids) -> bytes:
-    tok, out = ids.tok, []
-    for part, added in tok.stretches(text or ""):
-        out.append(tok.added[part].to_bytes(4, "little") if added else b"".join(map(ids.__getitem__, tok.pieces(part))))
-    return b"".join(out)
+def encode_texts(texts: list[str | None], ids: Ids) -> list[bytes]:
+    tok, taken, lack = ids.tok, [], set()
+    for text in texts:
+        taken.append([part if added else tok.pieces(part) for part, added in tok.stretches(text or "")])
+        for x in taken[-1]:
+            if isinstance(x, list):
+                lack.update(x)
+    ids.learn(lack)
+    get = ids.__getitem__
+    return [b"".join([tok.added[x].to_bytes(4, "little") if isinstance(x, str) else b"".join(map(get, x)) for x in parts]) for parts in taken]
+
+
+def _together(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of bounded number and length; a text is never cut."""
+    start = chars = 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= SLICE or chars + len(t or "") > SLICE_CHARS):
+            yield start, i
+            start, chars = i, 0
+        chars += len(t or "")
+    if texts:
+        yield start, len(texts)
 
 
 def decode_ids(ids: bytes, names: list[str]) -> str:
@@ -217,14 +302,17 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon: list[st
     """docs (or its columns in keep) with ids, the token ids as little-endian unsigned 32-bit integers, and decoded.
 
     tokenizer is the path of the file on the driver; lexicon the words to compile, by default the most frequent
-    of docs. Null and empty texts have no ids; strings of added tokens in a text become those tokens, as the
-    library has it; every row gets its own result, repeated or not. Columns of docs named ids or decoded are
-    replaced. What is broadcast is the file and the lexicon, both of bounded size.
+    of docs, ties beyond the bound left out. Null and empty texts have no ids; strings of added tokens in a text
+    become those tokens, as the library has it; whole texts are encoded, however long; every row gets its own
+    result, repeated or not; an empty table gives an empty result. Columns of docs named ids or decoded, in any
+    case, are replaced, others kept whatever their names. What is broadcast is the file and the lexicon, both of
+    bounded size.
     """
     with open(tokenizer, encoding="utf-8") as f:
         tok = Tokenizer(f.read())
     words = frequent(docs, tok, text) if lexicon is None else lexicon
-    entries = sorted((raw, tok.merge(raw)) for raw in {w.encode("utf-8", "replace") for w in words} if raw)
+    raws = sorted({w.encode("utf-8", "replace") for w in words} - {b""})
+    entries = zip(raws, [memoryview(x).cast("I").tolist() for x in tok.merge_all(raws)])
     shared = docs.sparkSession.sparkContext.broadcast((tok, compile_lexicon(entries)))
     own = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("ids", "decoded")]
 
@@ -232,14 +320,16 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", lexicon: list[st
         t, data = shared.value
         ids = _ids_here(t, data)
         for b in batches:
-            for at in range(0, b.num_rows, SLICE):
-                part = b.slice(at, SLICE)
-                got = [encode_text(x, ids) for x in part.column("pagewright_text").to_pylist()]
+            texts = b.column(b.num_columns - 1).to_pylist()
+            for x, y in _together(texts):
+                got = encode_texts(texts[x:y], ids)
                 more = [pa.array([decode_ids(x, t.names) for x in got], pa.string())] if decode else []
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary()), *more], names=[*own, "ids", *["decoded"] * decode])
+                yield pa.RecordBatch.from_arrays([*b.slice(x, y - x).columns[:-1], pa.array(got, pa.binary()), *more], names=names)
 
-    plain = docs.select(*own, F.col(text).cast("string").alias("pagewright_text"))
-    return plain.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in plain.select(*own).dtypes), "ids binary", *["decoded string"] * decode]))
+    plain = docs.select(*(F.col(c).alias(f"in_{i}") for i, c in enumerate(own)), F.col(text).cast("string").alias("text"))
+    names = [*(f"in_{i}" for i in range(len(own))), "ids", *["decoded"] * decode]
+    done = plain.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in plain.dtypes[:-1]), "ids binary", *["decoded string"] * decode]))
+    return done.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(own)), *names[len(own) :])
 
 
 def default_tokenizer() -> str:

@@ -99,26 +99,40 @@ class Lexicon:
             self._map = mmap.mmap(-1, len(data))
             self._map.write(data)
         self.n_states, self.n_edges, self.n_words, n_ids, self.n_merged = _HEAD.unpack_from(self._map)
-        at, whole = _HEAD.size, memoryview(self._map)
+        at = _HEAD.size
         parts = []
         for n in (self.n_states + 1, self.n_states, self.n_edges, self.n_edges, self.n_edges, self.n_words + 1, n_ids):
-            parts.append(whole[at : at + 4 * n].cast("I"))
+            parts.append(np.frombuffer(self._map, dtype="<u4", count=n, offset=at))
             at += 4 * n
-        self._first, self._final, self._label, self._target, self._skip, self._start, self._ids = parts
+        first, self._final, label, self._target, self._skip, self._start, self._ids = parts
+        # An edge's state and label as one number; edges are in the order of these.
+        self._edge = np.repeat(np.arange(self.n_states, dtype=np.int64) << 8, np.diff(first.astype(np.int64))) | label
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The rank of each word, -1 where it is not in the lexicon; all words take a step at a time."""
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        start, text = np.cumsum(size) - size, np.frombuffer(b"".join(words), dtype=np.uint8)
+        state, rank, out = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), np.full(len(words), -1, dtype=np.int64)
+        open_, step = np.arange(len(words)), 0
+        while len(open_):
+            ended = size[open_] == step
+            done = open_[ended]
+            out[done] = np.where(self._final[state[done]] > 0, rank[done], -1)
+            open_ = open_[~ended]
+            key = state[open_] << 8 | text[start[open_] + step]
+            at = np.minimum(np.searchsorted(self._edge, key), max(0, self.n_edges - 1))
+            hit = self._edge[at] == key if self.n_edges else np.zeros(len(open_), dtype=bool)
+            open_, at = open_[hit], at[hit]
+            rank[open_] += self._skip[at]
+            state[open_] = self._target[at]
+            step += 1
+        return out
+
+    def ids(self, rank: int) -> bytes:
+        """The ids of the word of a rank as little-endian unsigned 32-bit integers."""
+        return self._ids[self._start[rank] : self._start[rank + 1]].tobytes()
 
     def get(self, word: bytes) -> bytes | None:
-        """The ids of a word as little-endian unsigned 32-bit integers, or None."""
-        first, label, state, rank = self._first, self._label, 0, 0
-        for b in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:  # edges are in the order of their labels
-                mid = (lo + hi) // 2
-                if label[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or label[lo] != b:
-                return None
-            rank += self._skip[lo]
-            state = self._target[lo]
-        return bytes(self._ids[self._start[rank] : self._start[rank + 1]]) if self._final[state] else None
+        """The ids of a word, or None."""
+        rank = int(self.find([word])[0])
+        return None if rank < 0 else self.ids(rank)

@@ -45,5 +45,32 @@ def test_lexicon_is_a_minimal_map():
     assert Lexicon(compile_lexicon([])).get(b"a") is None
 
 
+def test_merging_abreast_equals_merging_one_by_one(both):
+    _, tok = both
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdeinorstéñ漢", k=rng.randint(1, 45))).encode() for _ in range(3000)] + [b"", b"a", b"a" * 32, b"a" * 33, b"ab" * 400]
+    assert tok.merge_all(words) == [bpe._bytes(tok.merge(w)) if w else b"" for w in words]
+    assert tok.merge_all([]) == []
+
+
+def test_bounds_of_what_is_kept_change_nothing(spark, both, monkeypatch):
+    lib, tok = both
+    lexicon = Lexicon(compile_lexicon((w, memoryview(x).cast("I").tolist()) for w, x in zip([b"the", b"word"], tok.merge_all([b"the", b"word"]))))
+    texts = [f"the word number{i} is w{i * 7} and <|endoftext|> " + "long" * (i * 5) for i in range(60)] + [None, ""]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kept, together in ((5, 3), (1000, 100)):
+        monkeypatch.setattr(bpe, "MAX_KEPT", kept)
+        ids, got = bpe.Ids(tok, lexicon), []
+        for at in range(0, len(texts), together):
+            got += bpe.encode_texts(texts[at : at + together], ids)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, in_0 string, pagewright_text int")
+    row = bpe.encode(df, bpe.default_tokenizer()).first()
+    assert (row["doc_id"], row["in_0"], row["pagewright_text"], len(row["ids"])) == (1, "x", 2, 8)
+
+
 def test_empty(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), bpe.default_tokenizer()).count() == 0
