@@ -6,6 +6,7 @@ DataFrame functions only.
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,28 +106,42 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - chance) / (1 - chance)))
 
 
+def _below(cuts: list[int], x: Column) -> Column:
+    """How many of the sorted cuts are less than x, by halving."""
+    steps, at = [], 1
+    while at <= len(cuts):
+        steps.insert(0, at)
+        at *= 2
+    bounds = _constants(cuts, "bigint")
+    further = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(bounds, at + step - 1) < x), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further) if cuts else F.lit(0)
+
+
 def followed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs with _text, not null, and _print, its signature, and _next and _next_print: the text and signature of the row that follows by descending key.
 
     After the last comes the first. The key's range is cut at quantiles; each part holds its rows in order and,
     at its end, a copy of the first row of the part that follows. Null keys come last; equal keys are ordered by
-    their texts' hashes.
+    their texts' hashes, and a key that several quantiles fall on is cut by these.
     """
     spark = docs.sparkSession
     n = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.withColumn("_key", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    cuts = sorted(set(keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], ACCURACY).alias("q")).first()["q"] or []))
-    bounds = _constants(cuts, "bigint")
-    parted = keyed.withColumn("_part", F.size(F.filter(bounds, lambda c: c >= F.col("_key"))) if cuts else F.lit(0))
-    firsts = sorted(tuple(r) for r in parted.groupBy("_part").agg(F.max("_key")).collect())  # a row for each part
-    before = [(part, first, firsts[i - 1][0]) for i, (part, first) in enumerate(firsts)]
-    ends = spark.createDataFrame(before, "_part int, _first long, _before int")
-    copied = F.when(F.col("_key") == F.col("_first"), F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("copy")), F.struct(F.col("_before").alias("p"), F.lit(True).alias("copy"))))
-    placed = parted.join(F.broadcast(ends), "_part").withColumn("_at", F.explode(F.coalesce(copied, F.array(F.struct(F.col("_part").alias("p"), F.lit(False).alias("copy"))))))
-    placed = placed.select(*docs.columns, "_key", "_text", F.col("_at.p").alias("_part"), F.col("_at.copy").alias("_copy"))
-    order = Window.partitionBy("_part").orderBy("_copy", F.desc("_key"), F.xxhash64("_text"))
+    keyed = docs.withColumn("_key", F.bitwise_not(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))))).withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64("_text"))
+    cuts = sorted(keyed.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], ACCURACY).alias("q")).first()["q"] or [])
+    many = {x: m for x, m in Counter(cuts).items() if m > 1}  # fewer than there are cuts
+    sub = F.floor((F.col("_hash").cast("double") / 2.0**64 + 0.5) * F.col("_many")).cast("int")
+    heavy = F.try_element_at(F.create_map(*(F.lit(y) for x in many.items() for y in x)), F.col("_key")) if many else F.lit(1)
+    parted = keyed.withColumn("_many", F.coalesce(heavy, F.lit(1))).withColumn("_part", _below(cuts, F.col("_key")) + F.greatest(F.lit(0), F.least(sub, F.col("_many") - 1))).drop("_many")
+    firsts = sorted((r["_part"], r["first"]["_key"], r["first"]["_hash"]) for r in parted.groupBy("_part").agg(F.min(F.struct("_key", "_hash")).alias("first")).collect())  # a row for each part
+    before = [(*first, firsts[i - 1][0]) for i, first in enumerate(firsts)]
+    ends = spark.createDataFrame(before, "_part int, _first long, _first_hash long, _before int")
+    here = F.struct(F.col("_part").alias("p"), F.lit(False).alias("copy"))
+    copied = F.when((F.col("_key") == F.col("_first")) & (F.col("_hash") == F.col("_first_hash")), F.array(here, F.struct(F.col("_before").alias("p"), F.lit(True).alias("copy"))))
+    placed = parted.join(F.broadcast(ends), "_part").withColumn("_at", F.explode(F.coalesce(copied, F.array(here))))
+    placed = placed.select(*docs.columns, "_key", "_hash", "_text", F.col("_at.p").alias("_part"), F.col("_at.copy").alias("_copy"))
+    order = Window.partitionBy("_part").orderBy("_copy", "_key", "_hash")
     led = placed.withColumn("_next", F.lead("_text").over(order)).withColumn("_print", signature(F.col("_text")))
-    return led.withColumn("_next_print", F.lead("_print").over(order)).where(~F.col("_copy")).drop("_key", "_part", "_copy")
+    return led.withColumn("_next_print", F.lead("_print").over(order)).where(~F.col("_copy")).drop("_key", "_hash", "_part", "_copy")
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

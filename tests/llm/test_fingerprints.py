@@ -1,5 +1,7 @@
 import hashlib
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from pagewright.llm import fingerprints as fp
@@ -41,6 +43,47 @@ def test_fingerprints_pack_and_unpack(spark):
         assert r["s"] == r["u"] and len(r["s"]) in (0, fp.BINS) and all(0 <= x < 256 for x in r["s"]) and len(r["p"]) == 2 * len(r["s"])
 
 
+def brute_signature(text):
+    """Bins of the top bits, the least hash of each, its low bits; an empty bin takes the first bin of its probes that holds one."""
+    signed = lambda h: struct.pack("<Q", h)
+    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in (text or "").lower().split()]
+    runs = []
+    for i in range(len(words) - 4):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(signed(w), seed=h)
+        runs.append(h >> 1)
+    bins = {}
+    for h in runs:
+        bins[h >> 55] = min(h, bins.get(h >> 55, h))
+    out = []
+    for b in range(fp.BINS):
+        held = b if b in bins else next((p for t in range(fp.TRIES) if (p := fp._probe(b, t)) in bins), None)
+        out.append(None if held is None else bins[held] & 255)
+    return out
+
+
+def test_signature_equals_brute_force(spark):
+    texts = [" ".join(f"w{(i * 31 + k * k) % 1009}" for k in range(n)) for i, n in enumerate((60, 200, 600, 3000))]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(fp.signature(F.col("text"))).collect()]
+    for t, bins in zip(texts, got):
+        want = brute_signature(t)
+        assert all(w is None or w == g for w, g in zip(want, bins)) and sum(w is None for w in want) < 140
+    assert None not in brute_signature(texts[-1])
+
+
+def test_heavy_keys_are_cut(spark):
+    data = [(7, f"text {i} " + "x" * (i % 9)) for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(9, "first"), (3, "low")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = fp.edited_pairs(df.withColumn("own", F.col("text"))).collect()
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = {t: t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in zip(order, order[1:] + order[:1])}
+    assert {r["own"]: r["edited"] for r in got} == want and len(got) == len(data)
+    parts = fp.followed(df, "doc_id", "text")
+    assert parts.count() == len(data)
+
+
 def test_alone_empty_and_null_keys(spark):
     schema = "doc_id long, text string"
     assert fp.edited_pairs(spark.createDataFrame([], schema)).count() == 0
