@@ -25,6 +25,8 @@ PARITIES = 1024
 #: The global orders besides that by frequency: each sorts tokens by the bits that its number mixes.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NOBODY = 0xFFFF
+#: Rows from which on a group is large, and how many groups may be; the rows of large ones learn their end by a broadcast.
+LARGE, LARGEST = 100, 10_000
 _P = np.uint64(0x100000001B3 | 1 << 52 | 1 << 45)
 
 
@@ -163,7 +165,7 @@ def _sum_chunk(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """All documents (id, n, same), and the classes (same, id, n) of equal sets that may be linked to another.
+    """All documents (id, n, same), and the classes (cid, same, id, n) of equal sets that may be linked to another.
 
     A set can be linked only if three quarters of its shingles are in other documents, which buckets of the
     shingles' hashes find out without sending texts or sets; hashes that meet by chance only add classes.
@@ -178,11 +180,15 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     told = each.join(others, ["chunk", "ix"], "left").withColumn("may", (F.col("shared") + F.coalesce("others", F.lit(0))) * DEN >= F.col("n") * NUM)
     all_docs = written(told.select("id", "n", "same", "may"), "sizes")
     may = all_docs.where("n > 0").groupBy("same").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.bool_or("may").alias("may")).where("may")
-    return all_docs, written(may.drop("may"), "classes")
+    return all_docs, written(may.select(F.monotonically_increasing_id().alias("cid"), "same", "id", "n"), "classes")
+
+
+_HEADS = [f"head{i}" for i in range(len(ORDERS))]
+_SET = ["same", "tokens", "bits", *_HEADS]
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(cid, same, id, n, tokens, bits) of the wanted classes. A filter of fixed size, broadcast, lets through the texts of
+    """(cid, same, id, n, tokens, bits, heads) of the wanted classes. A filter of fixed size, broadcast, lets through the texts of
     their least ids, and few others; the join that follows is exact."""
     place = F.pmod(F.xxhash64(F.coalesce(F.col("id"), F.lit(-1))), F.lit(FILTER_BITS))
     bits = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
@@ -198,13 +204,13 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
             hit = np.flatnonzero(f[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1))
             for at in range(0, len(hit), 512):
                 sets = [shingles(t) for t in b.column(1).take(pa.array(hit[at : at + 512])).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], names=["same", "tokens", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64())), *(pa.array([head(s, o) for s in sets], pa.list_(pa.int32())) for o in ORDERS)], names=_SET)
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).select(place.alias("p"), "text")
-    found = rows.mapInArrow(run, "same binary, tokens array<long>, bits array<long>").join(wanted.select("same"), "same", "left_semi")
-    one = found.groupBy("same").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")).join(wanted, "same")
-    cid = F.conv(F.hex(F.substring("same", 1, 7)), 16, 10).cast("long")
-    return written(one.select(cid.alias("cid"), "same", "id", "n", "tokens", "bits"), "sets")
+    shape = "same binary, tokens array<long>, bits array<long>, " + ", ".join(f"{h} array<int>" for h in _HEADS)
+    found = rows.mapInArrow(run, shape).join(wanted.select("same"), "same", "left_semi")
+    one = found.groupBy("same").agg(*(F.first(c).alias(c) for c in _SET[1:])).join(wanted, "same")
+    return written(one.select("cid", "id", "n", *_SET), "sets")
 
 
 def _prefix(n: Column) -> Column:
@@ -240,14 +246,12 @@ def _near_enough(a: str, b: str) -> Column:
     return (both - apart) * (NUM + DEN) >= both * (2 * NUM)
 
 
-def shares_prefix(a: np.ndarray, b: np.ndarray, order: int) -> bool:
-    """Whether two sets share a prefix token under the order that a number mixes."""
-    firsts = []
-    for x in (a, b):
-        p = len(x) - -(-len(x) * NUM // DEN) + 1
-        keys = mixed(x ^ np.uint64(order))
-        firsts.append(np.partition(keys, p - 1)[:p] if p < len(x) else keys)
-    return bool(np.isin(firsts[0], firsts[1]).any())
+def head(x: np.ndarray, order: int) -> np.ndarray:
+    """A set's prefix under the order that a number mixes, as 32 bits of each token: sets whose prefixes meet have heads that meet."""
+    keys = mixed(x ^ np.uint64(order))
+    p = len(x) - -(-len(x) * NUM // DEN) + 1
+    firsts = np.partition(keys, p - 1)[:p] if p < len(x) else keys
+    return (firsts & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -260,17 +264,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             left, right = part.column("x"), part.column("y")
-            keep = []
-            for i in range(part.num_rows):
-                a, b = left[i].values.to_numpy().view(np.uint64), right[i].values.to_numpy().view(np.uint64)
-                keep.append(all(shares_prefix(a, b, o) for o in ORDERS) and linked(a, b))
+            keep = [linked(left[i].values.to_numpy().view(np.uint64), right[i].values.to_numpy().view(np.uint64)) for i in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def meeting(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose prefixes meet under each of the other orders too, and whose parities are near enough."""
+    side = lambda c: sets.select(F.col("cid").alias(c), F.struct("n", "bits", *_HEADS).alias(f"of_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    meet = _near_enough("of_a", "of_b")
+    for h in _HEADS:
+        meet = meet & F.arrays_overlap(f"of_a.{h}", f"of_b.{h}")
+    return both.where(meet).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that share prefix tokens under the other orders too and are linked."""
+    """Those of the pairs (a, b) that are linked. Whole sets are fetched only for pairs that every order lets through."""
     x, y = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    left = written(meeting(pairs, sets), "meeting")
+    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
 
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,7 +291,8 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     Sets that share a prefix token are first compared with the one among them whose tokens are most common, a
     copy's likely source. What that connects needs no comparing; then every pair that shares a prefix token, is
     not connected yet and may reach the similarity, by the sets' sizes, parities and tokens of their own, is compared, so no component is missed and a group of copies
-    makes as many pairs as it has members.
+    makes as many pairs as it has members. Pairs are candidates only if their prefixes meet under every order,
+    which is found out before sets are fetched.
     """
     posts = postings(sets)
     pivot = posts.groupBy("token").agg(F.max_by(F.struct("cid", "n", "most"), F.struct("rank", "cid")).alias("pivot"), F.count("*").alias("df")).where("df > 1")
@@ -300,24 +313,37 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return every, components(every).withColumnRenamed("id", "cid")
 
 
+def _looked_up(rows: DataFrame, ends: DataFrame, by: str, n: int) -> DataFrame:
+    """rows with the end of their group by, from a row (by, copies, end) for each group. Rows of large groups, of which there
+    are LARGEST at most among n rows, are not dealt out: these ends are broadcast."""
+    many = F.col("copies") >= max(LARGE, n // LARGEST)
+    large = F.broadcast(ends.where(many).select(by, "end", F.lit(True).alias("large")))
+    told = rows.join(large, by, "left")
+    rest = told.where("large is null").drop("end", "large").join(ends.where(~many).select(by, "end"), by)
+    return told.where("large").drop("large").unionByName(rest)
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs.
 
     Sets of five-word shingles, letters A-Z in lower case; fewer words make one shingle. Two documents are linked
     from a Jaccard similarity of 0.75 on; component_id is the least id that links reach. Null and empty texts
     have no shingles and are linked with nothing; equal sets are one class, so copies cost a row each; repeated
-    rows are copies; a null key is linked like others and is never the least, unless it is alone. Other columns
-    are ignored. An empty table gives an empty result.
+    rows are copies; a null key is linked like others and is never the least, unless it is alone. Whole texts
+    count, however long. Other columns are ignored whatever their names; keys are whole numbers. An empty table
+    gives an empty result.
     """
     all_docs, wanted = classes(docs, key, text)
     sets = _sets(docs, key, text, wanted)
     _, comp = links(sets)
-    of = sets.select("cid", "same", "id").join(comp, "cid")
-    least = of.groupBy("comp").agg(F.min("id").alias("least"))
-    linked_ = of.join(least, "comp").select("same", "least")
-    own = all_docs.where("n > 0").groupBy("same").agg(F.min("id").alias("own"))
-    ends = written(own.join(linked_, "same", "left").select("same", F.coalesce("least", "own").alias("end")), "ends")
-    full = all_docs.where("n > 0").join(ends, "same").select("id", F.col("n").alias("n_shingles"), F.col("end").alias("component_id"))
+    n = all_docs.count()
+    of = written(sets.select("cid", "same", "id").join(comp, "cid").select("same", "id", "comp"), "members")
+    least = written(of.groupBy("comp").agg(F.min("id").alias("end"), F.count("*").alias("copies")), "least")
+    linked_ = _looked_up(of.select("same", "comp"), least, "comp", n).select("same", "end")
+    own = all_docs.where("n > 0").groupBy("same").agg(F.min("id").alias("own"), F.count("*").alias("copies"))
+    ends = written(own.join(linked_, "same", "left").select("same", "copies", F.coalesce("end", "own").alias("end")), "ends")
+    full = _looked_up(all_docs.where("n > 0"), ends, "same", n)
+    full = full.select("id", F.col("n").alias("n_shingles"), F.col("end").alias("component_id"))
     return full.unionByName(all_docs.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 

@@ -76,3 +76,24 @@ def test_empty(spark):
 def test_mixing_keeps_numbers_apart():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(ngram_join.mixed(x))) == len(x)
+
+
+def test_large_classes_and_heads(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 5)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(words)) for i in range(50, 80)] + [(2, " ".join(words[:29])), (None, "all alone here"), (3, "x y")] + [(None, "no key at all")] * 7
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda r: tuple((x is not None, x) for x in r)
+    got_ = sorted((tuple(r) for r in ngram_join.join(df).collect()), key=order)
+    want = [(i, 26, 2) for i in range(50, 80)] + [(2, 25, 2), (None, 1, None), (3, 1, 3)] + [(None, 1, None)] * 7
+    assert got_ == sorted(want, key=order)
+
+
+def test_linked_sets_have_heads_that_meet():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 40, 400):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for cut in range(0, n // 4 + 1, max(1, n // 8)):
+            b = np.unique(np.concatenate([a[: len(a) - cut], rng.integers(0, 2**63, cut // 8).astype(np.uint64)]))
+            if len(b) and ngram_join.linked(a, b):
+                assert all(np.isin(ngram_join.head(a, o), ngram_join.head(b, o)).any() for o in ngram_join.ORDERS)
