@@ -22,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and all of it runs on this machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="pagewright-"))
     return _own_dir[0]
@@ -57,6 +59,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def read_all(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one shape that written() made, as one table."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(t._pagewright_path for t in tables))
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that written() made and nothing reads any more."""
     path = df.__dict__.get("_pagewright_path")

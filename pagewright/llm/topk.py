@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import read_all, table, written
 
-#: Vectors in a block of the index, queries in a block, levels of quantised impact, results.
-BLOCK, QUERIES, LEVELS, TOP = 8192, 512, 32, 5
+#: Vectors in a block of the index, queries that are broadcast at once, levels of quantised impact, results.
+BLOCK, QUERIES, LEVELS, TOP = 8192, 16_384, 32, 5
 #: Rounds of descending impact: each processes the segments above that share of the highest one.
 CUTS = (0.45, 0.3, 0.22, 0.16, 0.11, 0.07, 0.03, 0)
 
@@ -21,14 +22,15 @@ CUTS = (0.45, 0.3, 0.22, 0.16, 0.11, 0.07, 0.03, 0)
 class Index:
     """Postings of a block: for each dimension the rows in the order of their quantised values, cut into segments."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray | None = None):
+        """order: what an index of the same rows, in the order of their ids, found already."""
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.v = ids[by_id], np.ascontiguousarray(vectors[by_id])
         n, d = self.v.shape
         self.low, self.high = self.v.min(axis=0), self.v.max(axis=0)
         self.width = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
         levels = ((self.v - self.low) // self.width).astype(np.int16)
-        order = np.argsort(levels, axis=0, kind="stable").astype(np.int32)
+        self.order = order = np.argsort(levels, axis=0, kind="stable").astype(np.int32) if order is None else order.astype(np.int32)
         self.rows = [np.ascontiguousarray(order[:, j]) for j in range(d)]
         self.levels = [np.ascontiguousarray(levels[order[:, j], j]) for j in range(d)]
         self.ends = np.stack([np.searchsorted(self.levels[j], np.arange(LEVELS + 1)) for j in range(d)]) if d else np.zeros((0, LEVELS + 1), dtype=int)
@@ -87,19 +89,64 @@ def integers(embedding: Column) -> Column:
     return F.when(~bad, F.transform(embedding, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long")))
 
 
-def _search_cell(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        sizes = rows["v"].map(len)
-        for d, part in queries.groupby(queries["v"].map(len)):  # as a rule one size
-            same = rows[sizes == d]
-            if not len(same):
-                continue
-            index = Index(same["id"].to_numpy(dtype=np.int64), np.array(same["v"].tolist(), dtype=np.int64).reshape(len(same), d))
-            for own, v in zip(part["id"], part["v"]):
-                ids, scores = index.search(int(own), np.asarray(v, dtype=np.int64), k)
-                out += [(int(own), int(i), int(s)) for i, s in zip(ids, scores)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+_INDEX = "size int, ids binary, kind string, v binary, orders binary"
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The numbers in the narrowest signed type that holds them."""
+    kind = next(k for k in (np.int16, np.int32, np.int64) if not x.size or (np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max))
+    return x.astype(kind)
+
+
+def _blocks(most: int):
+    """Blocks of vectors of one length, each with the order that its index goes by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def out(d: int) -> pa.RecordBatch:
+            parts = held.pop(d)
+            index = Index(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]))
+            v = _small(index.v)
+            cols = ([d], [index.ids.tobytes()], [v.dtype.name], [v.tobytes()], [index.order.astype(np.uint16).tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, (pa.int32(), pa.binary(), pa.string(), pa.binary(), pa.binary()))], names=["size", "ids", "kind", "v", "orders"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                sizes = part.column(1).value_lengths().to_numpy()
+                for d in np.unique(sizes).tolist():
+                    here = part.filter(pa.array(sizes == d))
+                    v = here.column(1).flatten().to_numpy().reshape(here.num_rows, d)
+                    held.setdefault(d, []).append((here.column(0).to_numpy(), v))
+                    if sum(len(i) for i, _ in held[d]) + 1024 > most:
+                        yield out(d)
+        for d in list(held):
+            yield out(d)
+
+    return run
+
+
+def _searched(shared, k: int):
+    """Each block's k best rows for every query that is broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        for b in batches:
+            for row in b.to_pylist():
+                ids, d = np.frombuffer(row["ids"], dtype=np.int64), row["size"]
+                if d not in asked:
+                    continue
+                v = np.frombuffer(row["v"], dtype=row["kind"]).astype(np.int64).reshape(len(ids), d)
+                index = Index(ids, v, np.frombuffer(row["orders"], dtype=np.uint16).reshape(len(ids), d))
+                for at in range(0, len(asked[d][0]), 1024):
+                    own, found, scores = [], [], []
+                    for q, x in zip(asked[d][0][at : at + 1024], asked[d][1][at : at + 1024]):
+                        i, s = index.search(int(q), x, k)
+                        own += [int(q)] * len(i)
+                        found.append(i)
+                        scores.append(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -110,19 +157,30 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", embeddin
     All rows are candidates but those with the query's own key; all of them if fewer than k; ties go to the
     smaller key. Vectors that are null or hold null or non-finite components take no part, nor do null keys;
     vectors of another length than the query's are no candidates of it. A key repeated among the queries counts
-    once, repeated rows of vectors are candidates each. Blocks of rows meet blocks of queries, each in a task of bounded size;
-    other columns are ignored.
+    once, repeated rows of vectors are candidates each. Other columns are ignored; an empty table gives an empty
+    result.
+
+    Each partition cuts its rows into blocks and writes their index once, whatever keys they have; no vector is
+    dealt out. Queries come in parts of bounded size, each broadcast to all blocks; where there are several parts,
+    the results of each are written.
     """
+    spark = vectors.sparkSession
     of = lambda t: t.select(F.col(key).cast("long").alias("id"), integers(F.col(embedding)).alias("v")).where("id is not null and v is not null")
-    rows, asked = of(vectors), of(queries).groupBy("id").agg(F.min("v").alias("v"))
-    rows, asked = written(rows, "rows"), written(asked, "queries")
-    n_blocks, n_asked = max(1, math.ceil(rows.count() / BLOCK)), max(1, math.ceil(asked.count() / QUERIES))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = rows.select("id", "v", dealt(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("part"))
-    right = asked.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), dealt(n_asked).alias("part"))
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(_search_cell(k), "query_id long, vec_id long, score long")
+    blocks = written(of(vectors).mapInArrow(_blocks(BLOCK), _INDEX), "index")
+    asked = written(of(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    parts = max(1, math.ceil(1.1 * asked.count() / QUERIES))
+
+    def found(part: int) -> DataFrame:
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()  # about QUERIES at most
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(len(r["v"]), []).append(r)
+        shared = spark.sparkContext.broadcast({d: (np.array([r["id"] for r in x]), np.array([r["v"] for r in x], dtype=np.int64).reshape(len(x), d)) for d, x in by.items()})
+        return blocks.mapInArrow(_searched(shared, k), "query_id long, vec_id long, score long")
+
+    every = found(0) if parts == 1 else read_all([written(found(i), "found") for i in range(parts)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -38,6 +38,16 @@ def test_stops_on_proof_alone():
         assert got.tolist() == ids[want].tolist() and scores.tolist() == s[want].tolist()
 
 
+def test_queries_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "BLOCK", 1100)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 90 if i == 5 else 0.3, 6).astype(np.float32).tolist()) for i in range(400)] + [(3, [0.5] * 6)] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 10 = 0")).collect())
+    assert got == sorted(brute(rows, [i for i in range(400) if i % 10 == 0], 5))
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.search(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 256 * 512)]
