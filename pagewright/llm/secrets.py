@@ -14,7 +14,7 @@ from .common import table, written
 # holds the value and its least length.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]{32,}", 0, 32))
-#: Opaque values without a keyword: a candidate only; it counts where the corpus shows that one owner has it.
+#: Opaque values without a keyword: a candidate only; the corpus tells whose it is.
 OPAQUE = ("opaque", r"[A-Za-z0-9_-]{24,}", 0, 24)
 KINDS = [k for k, *_ in (*BASE, OPAQUE)]
 
@@ -60,15 +60,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: str = "text", widely: int = 3) -> DataFrame:
+#: Owners and repositories from which on a value is widely copied.
+WIDELY, OFTEN = 3, 20
+
+
+def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: str = "text", widely: int = WIDELY, often: int = OFTEN) -> DataFrame:
     """docs, without its text, with spans (array of kind, start, end, n_repos, n_owners, live), one row per input row.
 
-    A value held by fewer than `widely` owners is owner-specific and live; one that more owners hold is a widely
-    copied example. Base spans always stay; an opaque span stays only if it is live. Places are code points,
-    end exclusive. Null and empty texts have no spans; a null owner is one owner, a null repository likewise;
-    repeated rows give repeated results and count once for their repository. Columns that docs has besides are
-    kept, but one named spans is replaced. The values are hashed before rows are dealt out, and the counts of a hash are
-    summed in parts, so a value in a third of all rows meets in no one task.
+    A value held by fewer than `widely` owners and in fewer than `often` repositories is owner-specific and live;
+    any other is a widely copied example: many owners copied it from each other, or one owner all over its
+    repositories. Spans of both kinds stay, told apart by live. Places are code points, end exclusive. Null and
+    empty texts have no spans; whole texts are searched, however long; a null owner is one owner, a null repository
+    likewise; repeated rows give repeated results and count once for their repository. An empty table gives an
+    empty result. Columns that docs has besides are kept, but one named spans is replaced. The values are hashed
+    before rows are dealt out and the counts of a hash are summed in parts; the join that brings them back is of two
+    plain exchanges, so a value in a third of all rows is a skewed partition that adaptive execution splits.
     """
     own = [c for c in docs.columns if c != text and c.lower() != "spans"]
     loaded = candidates(docs.select(*(F.col(c).alias(f"in_{i}") for i, c in enumerate(own)), F.col(owner).cast("string").alias("_owner"), F.col(repo).cast("string").alias("_repo"), F.col(text).alias("_text")), "_text")
@@ -76,23 +82,23 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: str
     kept = written(loaded.select(*(f"in_{i}" for i in range(len(own))), "_owner", "_repo", hashed.alias("_spans"), F.monotonically_increasing_id().alias("_row")), "spans")
     each = kept.where(F.size("_spans") > 0).select("_row", "_owner", "_repo", F.explode("_spans").alias("s")).select("_row", F.col("_owner").alias("owner"), F.col("_repo").alias("repo"), "s.*")
     counts = written(ownership(each.select("hash", "repo", "owner")), "ownership")
-    live = F.col("n_owners") < widely
+    live = (F.col("n_owners") < widely) & (F.col("n_repos") < often)
     told = (
-        each.join(counts, "hash").where((F.col("kind") != "opaque") | live).groupBy("_row")
+        each.join(counts, "hash").groupBy("_row")
         .agg(F.sort_array(F.collect_list(F.struct("start", "ord", "end", "kind", "n_repos", "n_owners", live.alias("live")))).alias("_told"))
     )
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string,n_repos:bigint,n_owners:bigint,live:boolean>>")
     return kept.join(told, "_row", "left").select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(own)), F.coalesce("_told", none).alias("spans"))
 
 
-def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: str = "text", widely: int = 3) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", text: str = "text", widely: int = WIDELY, often: int = OFTEN) -> DataFrame:
     """docs with each span of its text replaced: by [secret], or by [example] where the value is widely copied.
 
     Overlapping spans become one, live if one of them is. The columns and their order stay; null text stays null.
     """
     cols = docs.columns
     at = {c: f"c_{i}" for i, c in enumerate(cols)}
-    found = scan(docs.select(*(F.col(c).alias(n) for c, n in at.items()), F.col(text).alias("kept")), at[owner], at[repo], at[text], widely)
+    found = scan(docs.select(*(F.col(c).alias(n) for c, n in at.items()), F.col(text).alias("kept")), at[owner], at[repo], at[text], widely, often)
     t = F.coalesce("kept", F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:

@@ -32,10 +32,12 @@ def test_owner_specific_and_widely_copied(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, text string, spans string")
     got = {r["doc_id"]: [(s["kind"], s["n_repos"], s["n_owners"], s["live"]) for s in r["spans"]] for r in secrets.scan(df).collect()}
     assert got[1] == got[2] == [("opaque", 2, 1, True)]
-    assert got[3] == got[4] == got[5] == []
+    assert got[3] == got[4] == got[5] == [("opaque", 3, 3, False)]
     assert got[6] == got[7] == got[8] == [("assign", 3, 3, False)]
     red = {r["doc_id"]: r["text"] for r in secrets.redact(df).where("spans = 'x'").collect()}
-    assert red[1] == "k [secret]" and red[6] == "[example]" and red[3] == rows[2][2]
+    assert red[1] == "k [secret]" and red[6] == "[example]" and red[3] == "key [example]" and red[4] == "[example]"
+    all_over = spark.createDataFrame([(i, "a", "password=everywhere1") for i in range(25)], "doc_id long, source string, text string")
+    assert {(s["n_repos"], s["n_owners"], s["live"]) for r in secrets.scan(all_over).collect() for s in r["spans"]} == {(25, 1, False)}
 
 
 def test_empty_and_repeated(spark):
