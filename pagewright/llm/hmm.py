@@ -20,6 +20,8 @@ STATES, OWN, CLASSES, HEAD, FIRST_DOCS, FIRST_ROUNDS, PASSES = 8, 24_000, 2_048,
 SYMBOLS = 1 + OWN + CLASSES
 END = b" "  # no word is a blank
 FLUSH, CELLS, SLICE = 400_000, 262_144, 4_096
+#: Tokens of a text that the first guess takes whole texts up to; steps of a long text whose states are held at once.
+FIRST_LENGTH, PIECE = 8_192, 65_536
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -200,6 +202,51 @@ def expected(seqs: list[np.ndarray], m: Model, counts: np.ndarray, moves: np.nda
     return float(logs.sum())
 
 
+def expected_long(seq: np.ndarray, m: Model, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray, piece: int = PIECE) -> float:
+    """The same for one long sequence: only the states at the ends of pieces are kept, and each piece is run through again on the way back."""
+
+    def onward(part: np.ndarray, a: np.ndarray | None, keep: bool) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        rows, scales, log = np.empty((len(part) if keep else 1, len(m.start))), np.ones(len(part) if keep else 1), 0.0
+        for t, s in enumerate(part):
+            x = (m.start if a is None else a @ m.move) * m.emit[s]
+            c = x.sum()
+            a, log = x / c, log + np.log(c)
+            if keep:
+                rows[t], scales[t] = a, c
+        return a, log, rows, scales
+
+    parts, entry, total = [seq[x : x + piece] for x in range(0, len(seq), piece)], [None], 0.0
+    for part in parts:
+        a, log, *_ = onward(part, entry[-1], False)
+        entry.append(a)
+        total += log
+    b, acc = np.ones(len(m.start)), np.zeros_like(m.move)
+    for part, before in zip(parts[::-1], entry[-2::-1]):
+        _, _, rows, scales = onward(part, before, True)
+        gamma = np.empty_like(rows)
+        for t in range(len(part) - 1, -1, -1):
+            gamma[t] = rows[t] * b
+            last = rows[t - 1] if t else before
+            if last is None:
+                starts += gamma[t]
+                continue
+            w = m.emit[part[t]] * b / scales[t]
+            acc += np.outer(last, w)
+            b = m.move @ w
+        for i in range(len(b)):
+            counts[:, i] += np.bincount(part, weights=gamma[:, i], minlength=len(counts))
+    moves += acc * m.move
+    return total
+
+
+def _add_expected(seqs: list[np.ndarray], m: Model, counts: np.ndarray, moves: np.ndarray, starts: np.ndarray) -> None:
+    for part in _bundles(seqs):
+        if len(part) == 1 and len(seqs[part[0]]) > PIECE:
+            expected_long(seqs[part[0]], m, counts, moves, starts)
+        else:
+            expected([seqs[i] for i in part], m, counts, moves, starts)
+
+
 def maximise(counts: np.ndarray, moves: np.ndarray, starts: np.ndarray, prior: float = 1.0) -> Model:
     """The model of expected counts; every state also gets a little of what all states emit, of every symbol at least something."""
     whole = counts.sum(axis=1) + 0.5
@@ -243,8 +290,7 @@ def first_guess(seqs: list[np.ndarray], states: int = STATES, rounds: int = FIRS
 def _em(seqs: list[np.ndarray], model: Model) -> Model:
     k = len(model.start)
     counts, moves, starts = np.zeros((SYMBOLS, k)), np.zeros((k, k)), np.zeros(k)
-    for part in _bundles(seqs):
-        expected([seqs[i] for i in part], model, counts, moves, starts)
+    _add_expected(seqs, model, counts, moves, starts)
     return maximise(counts, moves, starts)
 
 
@@ -262,9 +308,7 @@ def baum_welch(encoded: DataFrame, model: Model) -> Model:
         counts, moves, starts = np.zeros((SYMBOLS, k)), np.zeros((k, k)), np.zeros(k)
         for b in batches:
             for at in range(0, b.num_rows, SLICE):
-                seqs = _sequences(b.column(0).slice(at, SLICE))
-                for part in _bundles(seqs):
-                    expected([seqs[i] for i in part], m, counts, moves, starts)
+                _add_expected(_sequences(b.column(0).slice(at, SLICE)), m, counts, moves, starts)
         used = np.flatnonzero(counts.sum(axis=1) > 0)
         key = np.concatenate([used, -1 - np.arange(k + 1)])  # after the symbols the moves from each state, then the starts
         value = np.concatenate([counts[used], moves, starts[None]])
@@ -290,11 +334,15 @@ def score(docs: DataFrame, learned: Column, text: str = "text", seed: int = 3) -
     The model learns from the rows where `learned` holds. score is the log10 probability of the text and its end:
     the exact likelihood of its symbols, times the add-one share of each word within its class where it has no
     symbol of its own, so all texts' probabilities add up to at most 1. Null and empty texts are an end alone;
-    repeated rows count and are scored each; without rows to learn from, states emit every symbol alike. Counts
-    of all words are exact: the most frequent are broadcast, all others joined by word.
+    whole texts count, however long; repeated rows count and are scored each; without rows to learn from, states
+    emit every symbol alike. An empty table gives an empty result. Counts of all words are exact: the most frequent
+    are broadcast, all others joined by word. The first guess is made on FIRST_DOCS texts of FIRST_LENGTH tokens at
+    most, chosen by the seeded hashes of their symbols. Columns of docs with the names above, in any case, are
+    replaced, others kept whatever their names.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c != text]
+    new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    own = [c for c in docs.columns if c != text and c.lower() not in new]
     flat = docs.select(*(F.col(c).alias(f"in_{i}") for i, c in enumerate(own)), F.col(text).cast("string").alias("text"), F.coalesce(learned, F.lit(False)).alias("learned"), F.monotonically_increasing_id().alias("row"))
     vocab, counts = vocabulary(flat.where("learned").select("text"))
     shared = spark.sparkContext.broadcast(vocab)
@@ -335,11 +383,11 @@ def score(docs: DataFrame, learned: Column, text: str = "text", seed: int = 3) -
 
 def _first(encoded: DataFrame, seed: int) -> list[np.ndarray]:
     """Symbols of the documents to learn from that have the smallest seeded hashes, for the first guess alone."""
-    n = encoded.where("learned").count()
-    h = F.xxhash64(F.lit(seed), "row")
-    near = encoded.where("learned").where(h <= F.lit(int(-(2**63) + min(1.0, 2 * FIRST_DOCS / max(1, n)) * (2**64 - 1)))) if n > 2 * FIRST_DOCS else encoded.where("learned")
-    keys = near.select("row", h.alias("h")).orderBy("h", "row").limit(FIRST_DOCS)
-    rows = near.join(F.broadcast(keys), "row").orderBy("h", "row").select("symbols").collect()
+    h = F.xxhash64(F.lit(seed), "symbols")
+    of = encoded.where("learned").where(F.col("n") <= FIRST_LENGTH).select("row", "symbols", h.alias("h"))
+    n = of.count()
+    near = of.where(F.col("h") <= F.lit(int(-(2**63) + min(1.0, 2 * FIRST_DOCS / max(1, n)) * (2**64 - 1)))) if n > 2 * FIRST_DOCS else of
+    rows = near.orderBy("h", "symbols").limit(FIRST_DOCS).select("symbols").collect()
     return [np.frombuffer(bytes(r[0]), dtype="<u2").astype(np.int64) for r in rows]
 
 

@@ -61,3 +61,34 @@ def test_base_score_and_edges(spark):
         assert r["score"] < 0
     assert hmm.score(df.limit(0), F.lit(True)).count() == 0
     assert all(r["train_tokens"] == 0 for r in hmm.score(df.limit(5), F.lit(False)).collect())
+
+
+def test_long_sequences_in_pieces():
+    rng, m = np.random.default_rng(4), tiny()
+    for n in (1, 2, 37, 40):
+        seq = rng.integers(0, 50, n)
+        whole = [np.zeros((hmm.SYMBOLS, 3)), np.zeros((3, 3)), np.zeros(3)]
+        pieces = [np.zeros_like(x) for x in whole]
+        assert np.isclose(hmm.expected([seq], m, *whole), hmm.expected_long(seq, m, *pieces, piece=10))
+        assert all(np.allclose(a, b) for a, b in zip(whole, pieces))
+
+
+def test_score_is_the_likelihood_by_brute_force(spark, monkeypatch):
+    """Each word's symbol by hand, the forward sum over all paths, and the add-one shares within classes."""
+    monkeypatch.setattr(hmm, "PASSES", 0)
+    rows = [(1, "a b a"), (2, "b c"), (3, None), (4, "a zz")]
+    seen = []
+    real = hmm.first_guess
+    monkeypatch.setattr(hmm, "first_guess", lambda seqs: seen.append(real(seqs)) or seen[-1])
+    got = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 4).collect()}
+    place = {"a": 1, "b": 2, "c": 3}  # by count and then by bytes
+    unseen = 1 + hmm.OWN + hmm.class_of(b"zz")
+    for i, text in rows:
+        symbols = [place.get(w, unseen) for w in (text or "").split()] + [0]
+        assert math.isclose(got[i], brute(symbols, seen[0]) / math.log(10) + 0.0 * len(symbols), rel_tol=1e-9)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6, 7)], "doc_id long, text string, n_tokens int, Score int, row int")
+    row = hmm.score(df, F.lit(True)).first()
+    assert row.asDict().keys() == {"doc_id", "row", "n_tokens", "n_known", "train_tokens", "base_score", "score"} and row["row"] == 7 and row["n_tokens"] == 2
