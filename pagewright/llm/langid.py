@@ -170,11 +170,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     `und` with score 0 where the text is null or has no letter, or where nothing was learned. Whole texts count,
     however long; every row gets its own result, repeated or not; of equally likely languages the first by name.
-    Every word and n-gram seen in training counts as seen: what the bounded tables lack is joined.
+    Every word and n-gram seen in training counts as seen: what the bounded tables lack is joined. An empty table
+    gives an empty result. Columns of docs named lang_pred or score, in any case, are replaced, others kept
+    whatever their names.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    own = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    own = [c for c in docs.columns if c != text and c.lower() not in ("lang_pred", "score")]
     plain = docs.select(*(F.col(c).alias(f"in_{i}") for i, c in enumerate(own)), F.col(text).cast("string").alias("text"))
     carried = [f"{c} {t}" for c, t in plain.dtypes if c != "text"]
     shape = ", ".join([*carried, "lang_pred string, score double"])

@@ -114,8 +114,8 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key
 
     Each document is taken as often as its source's size goes into the target; which documents come once more
     is a subset-sum fit over the source's counts by exact length, and among those of one length the seeded hash
-    of the key decides. Columns of docs with the names size, source_size, target or copies are replaced.
-    Null text has size 0 and is never taken; a null source is a source of its own; of repeated rows each counts;
+    of the key decides. Columns of docs with the names size, source_size, target or copies, in any case, are
+    replaced, others kept whatever their names. Whole texts are counted, however long. Null text has size 0 and is never taken; a null source is a source of its own; of repeated rows each counts;
     equal hashes are told apart by the key and then arbitrarily, with the same number taken. An empty table
     gives an empty result. A group of one source and length is dealt over 256 salts, so no group meets in one
     task.
@@ -124,8 +124,8 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key
     size = words_in(F.col("text")) if size is None else size
     hashed = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
     keyed = docs.select(
-        *own, size.alias("size"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("source_key"),
-        hashed.alias("_hash"), F.pmod(hashed, F.lit(SALTS)).cast("int").alias("_salt"),
+        *(F.col(c).alias(f"in_{i}") for i, c in enumerate(own)), size.alias("size"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("source_key"),
+        F.col(key).cast("string").alias("_key"), hashed.alias("_hash"), F.pmod(hashed, F.lit(SALTS)).cast("int").alias("_salt"),
     )
     salted = written(keyed.groupBy("source_key", "size", "_salt").agg(F.count("*").alias("n")), "lengths")
     lengths = salted.groupBy("source_key", "size").agg(F.sum("n").alias("n"))
@@ -144,11 +144,11 @@ def mix(docs: DataFrame, size: Column | None = None, source: str = "source", key
         .withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
         .select("source_key", "size", "_salt", "whole", F.least("n", F.greatest(F.lit(0), F.col("extra") - F.col("before"))).alias("share"))
     )
-    nth = F.row_number().over(Window.partitionBy("source_key", "size", "_salt").orderBy("_hash", F.col(key).cast("string")))
+    nth = F.row_number().over(Window.partitionBy("source_key", "size", "_salt").orderBy("_hash", "_key"))
     copies = F.coalesce(F.col("whole") + F.when(nth <= F.col("share"), 1).otherwise(0), F.lit(0))
     return (
         keyed.join(written(shares, "shares"), ["source_key", "size", "_salt"], "left").withColumn("copies", copies)
-        .join(targets, "source_key", "left").select(*own, "size", "source_size", "target", "copies")
+        .join(targets, "source_key", "left").select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(own)), "size", "source_size", "target", "copies")
     )
 
 

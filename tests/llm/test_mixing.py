@@ -58,3 +58,9 @@ def test_targets_and_taken(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_clashing_names_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 200_000, "x", "y"), (2, "a", "w", "x", "y")], "doc_id long, source string, text string, source_key string, in_0 string")
+    got = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert got[1]["size"] == 200_000 and (got[2]["source_key"], got[2]["in_0"], got[2]["source_size"]) == ("x", "y", 200_001)
