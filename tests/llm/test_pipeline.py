@@ -47,3 +47,22 @@ def test_stages_against_brute_force(spark):
     assert sorted(ids[5]) == sorted(ids[4])
     for r in tables[5].limit(30).collect():
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing names; and an empty table."""
+    good = spark.read.parquet(f"{SF}/documents.parquet")
+    keep = [r["text"] for r in good.where("n_chars > 300").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").limit(12).collect()]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(keep)] + [(100, keep[0], None, None, None), (100, keep[0], None, None, None), (None, None, None, None, None), (101, "", "en", "s0", 0), (102, " ".join(keep) * 20, "en", "s0", 1)]
+    df = spark.createDataFrame(rows, good.schema).selectExpr("*", "'own score' as score", "'own copies' as copies", "'own size' as size", "'x' as source_key", "'y' as in_0", "1 as pagewright_text", "2 as ids_")
+    for docs in (df, df.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns and all(r["score"] == "own score" and r["copies"] == "own copies" and r["size"] == "own size" for r in got)
+                docs = spark.createDataFrame(got, docs.schema)
+            if name == "quality classifier":
+                assert len(got) >= min(13, docs.count())
+            if name == "n-gram Jaccard join":
+                assert len({(r["doc_id"], r["text"]) for r in got}) == len(got)
