@@ -33,6 +33,18 @@ def overlap_of_smaller(a: str, b: str) -> Column:
     return F.when(smaller != 0, shared_area(a, b) / smaller)
 
 
+def horizontal_overlap(a: str, b: str) -> Column:
+    """The part of a's width that b shares; null if a has none."""
+    shared = F.least(side(a, "right"), side(b, "right")) - F.greatest(side(a, "left"), side(b, "left"))
+    width = side(a, "right") - side(a, "left")
+    return F.when(width != 0, F.greatest(F.lit(0), shared) / width)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """A number rounded half up to so many places."""
+    return F.floor(x * 10**places + 0.5) / 10**places
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 

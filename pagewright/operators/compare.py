@@ -23,21 +23,26 @@ def pairs(a: DataFrame, b: DataFrame, same: Column | None = None) -> DataFrame:
     )
 
 
-def evaluate(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
-    """The seven counts of layer a against the truth b, for each group of by (a prefix of the words' key)."""
-    found = pairs(a, b)
-    of_b = found.groupBy("doc_id", "page", "b_line", "b_word").agg(F.bool_or("same").alias("ok"), F.bool_or(F.col("a_conf") <= LOW).alias("low"), F.bool_or(F.col("a_conf") > HIGH).alias("high"))
-    of_a = found.groupBy("doc_id", "page", "a_line", "a_word").agg(F.count("*").alias("n"))
-    n_b, n_a = b.groupBy(*by).agg(F.count("*").alias("total")), a.groupBy(*by).agg(F.count("*").alias("words"))
-    hit = of_b.groupBy(*by).agg(
-        F.count("*").alias("met"), F.count_if("ok").alias("correct"), F.count_if(F.col("ok") & F.col("low")).alias("correct_low_conf"), F.count_if(~F.col("ok") & F.col("high")).alias("incorrect_high_conf")
-    )
-    used = of_a.groupBy(*by).agg(F.count("*").alias("used"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    out = n_b.join(hit, by, "left").join(n_a, by, "full").join(used, by, "left") if by else n_b.join(hit).join(n_a).join(used)
-    return out.select(
-        *by, zero("total").alias("total"), zero("correct").alias("correct"), (zero("met") - zero("correct")).alias("incorrect"), (zero("total") - zero("met")).alias("missed"),
-        (zero("words") - zero("used")).alias("extra"), zero("correct_low_conf").alias("correct_low_conf"), zero("incorrect_high_conf").alias("incorrect_high_conf"),
+def evaluate(a: DataFrame, b: DataFrame, by: list[str], same: Column | None = None) -> DataFrame:
+    """The seven counts of layer a against the truth b, for each group of by (a prefix of the words' key).
+
+    Pairs count for the word on either side, and the words of both layers stand beside them, so one sum by word and
+    one by group tell everything.
+    """
+    word = lambda side, line, ix, here, met, ok, low, high: F.struct(
+        F.lit(side).alias("side"), F.col(line).alias("line"), F.col(ix).alias("ix"), F.lit(here).alias("here"), F.lit(met).alias("met"), ok.alias("ok"), low.alias("low"), high.alias("high")
+    )
+    no = F.lit(False)
+    found = pairs(a, b, same).select("doc_id", "page", F.explode(F.array(word("b", "b_line", "b_word", 0, 1, F.col("same"), F.col("a_conf") <= LOW, F.col("a_conf") > HIGH), word("a", "a_line", "a_word", 0, 1, no, no, no))).alias("w"))
+    own = [x.select("doc_id", "page", word(t, "line_ix", "word_ix", 1, 0, no, no, no).alias("w")) for t, x in (("a", a), ("b", b))]
+    each = found.unionByName(own[0]).unionByName(own[1]).select("doc_id", "page", "w.*").groupBy("doc_id", "page", "side", "line", "ix")
+    flags = each.agg(F.sum("here").alias("here"), F.max("met").alias("met"), F.bool_or("ok").alias("ok"), F.bool_or("low").alias("low"), F.bool_or("high").alias("high"))
+    count = lambda x: F.coalesce(F.sum(F.when(x, 1).otherwise(0)), F.lit(0)).cast("long")
+    truth, met, ok = F.col("side") == "b", F.col("met") > 0, F.col("ok")
+    total = lambda x: F.coalesce(F.sum(F.when(x, F.col("here")).otherwise(0)), F.lit(0)).cast("long")
+    return flags.groupBy(*by).agg(
+        total(truth).alias("total"), count(truth & met & ok).alias("correct"), count(truth & met & ~ok).alias("incorrect"), (total(truth) - count(truth & met)).alias("missed"), (total(~truth) - count(~truth & met)).alias("extra"),
+        count(truth & met & ok & F.col("low")).alias("correct_low_conf"), count(truth & met & ~ok & F.col("high")).alias("incorrect_high_conf"),
     )
 
 

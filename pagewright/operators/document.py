@@ -43,9 +43,10 @@ def remapped(table: DataFrame, page_map: DataFrame) -> DataFrame:
 
 
 def nested(headings: DataFrame) -> DataFrame:
-    """Parents by level: the last heading before with a lower level. Levels are few, so each has a window sum of its own."""
+    """Parents by level: the last heading before with a lower level. Levels are few, so each that occurs has a window of its own."""
+    levels = sorted(r["level"] for r in headings.select("level").where("level is not null").distinct().collect())
     w = Window.partitionBy("doc_id").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.greatest(*(F.when(F.col("level") > k, F.coalesce(F.max(F.when(F.col("level") == k, F.col("node"))).over(w), F.lit(-1))).otherwise(-1) for k in range(1, 9)), F.lit(-1))
+    above = F.greatest(*(F.when(F.col("level") > k, F.coalesce(F.max(F.when(F.col("level") == k, F.col("node"))).over(w), F.lit(-1))).otherwise(-1) for k in levels), F.lit(-1), F.lit(-1))
     return headings.withColumn("parent", above).withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent")))
 
 
@@ -63,7 +64,7 @@ def outline_remap(outline: DataFrame, page_map: DataFrame) -> DataFrame:
     kept = outline.join(page_map.withColumnRenamed("old", "page"), PAGE, "left").withColumn("stays", F.col("page").isNull() | F.col("new").isNotNull())
     up = kept.select("doc_id", F.col("node").alias("up"), F.col("parent").alias("up_parent"), F.col("stays").alias("up_stays"))
     now = kept
-    for _ in range(8):  # levels of an outline
+    for _ in range(outline.select("level").distinct().count()):  # no chain of parents is longer, since levels fall
         now = now.withColumn("up", F.col("parent")).join(up, ["doc_id", "up"], "left").withColumn("parent", F.when(F.col("up").isNull() | F.col("up_stays"), F.col("up")).otherwise(F.col("up_parent"))).drop("up", "up_parent", "up_stays")
     return now.where("stays").select("doc_id", "node", "parent", "title", F.col("new").alias("page"))
 

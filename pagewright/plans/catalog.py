@@ -46,10 +46,12 @@ for _n, _f in (("doc_words", layout.words), ("doc_words_b", layout.words_b), ("d
     _cols = 'doc_id, page, line_ix, word_ix, text, "left", top, "right", bottom, conf'
     plan(_n, W + f"select {_cols} from {_n.replace('doc_', '')}")(lambda s, d, f=_f: f(_docs(s, d)).select("doc_id", "page", "line_ix", "word_ix", "text", "left", "top", "right", "bottom", "conf"))
 
-PAIRS = """, pairs as (
-  select a.doc_id, a.page, a.line_ix as a_line, a.word_ix as a_word, b.line_ix as b_line, b.word_ix as b_word, a.text = b.text as same, a.conf as a_conf,
+PAIRS = """, a_bands as (select *, unnest(range((top + 2) // 64, (bottom - 2) // 64 + 1)) as band from words), b_bands as (select *, unnest(range((top + 2) // 64, (bottom - 2) // 64 + 1)) as band from {other}),
+pairs as (
+  select a.doc_id, a.page, a.line_ix as a_line, a.word_ix as a_word, b.line_ix as b_line, b.word_ix as b_word, a.text = b.text as same, a.text as a_text, b.text as b_text, a.conf as a_conf,
     a."left" as a_left, a."right" as a_right, b."left" as b_left, b."right" as b_right
-  from words a join {other} b on a.doc_id = b.doc_id and a.page = b.page and a."left" <= b."right" and b."left" <= a."right" and a.top + 2 <= b.bottom - 2 and b.top + 2 <= a.bottom - 2)
+  from a_bands a join b_bands b on a.doc_id = b.doc_id and a.page = b.page and a.band = b.band and a.band = greatest((a.top + 2) // 64, (b.top + 2) // 64)
+    and a."left" <= b."right" and b."left" <= a."right" and a.top + 2 <= b.bottom - 2 and b.top + 2 <= a.bottom - 2)
 """
 METRICS = """, of_b as (select doc_id, page, b_line, b_word, bool_or(same) as ok, bool_or(a_conf <= 75) as low, bool_or(a_conf > 85) as high from pairs group by all),
 of_a as (select doc_id, page, a_line, a_word from pairs group by all),
@@ -582,9 +584,22 @@ def line_number_column(s, d):
     return structure.line_number_runs(render.lines(_words(s, d)).withColumn("line", F.concat_ws(" ", F.col("line_ix") + 1, "line")))
 
 
-@plan("numbering_schemes")
+_NUMBERED = """, num as (select doc_id, page, line_ix, case line_ix % 3 when 0 then '(' || (line_ix // 3 + 1) || ')' when 1 then (page * 50 + line_ix) || '.' else chr((97 + line_ix // 3)::int) || ')' end || ' ' || line as line from ln)"""
+
+
+def _numbered(s, d):
+    i = F.col("line_ix")
+    mark = F.when(i % 3 == 0, F.concat(F.lit("("), F.floor(i / 3) + 1, F.lit(")"))).when(i % 3 == 1, F.concat(F.col("page") * 50 + i, F.lit("."))).otherwise(F.concat(F.char(97 + F.floor(i / 3)), F.lit(")")))
+    return render.lines(_words(s, d)).withColumn("line", F.concat_ws(" ", mark, "line"))
+
+
+@plan("numbering_schemes", W + _LINES + _NUMBERED + """, e as (select distinct doc_id, regexp_extract(line, '^\\(?(\\d{1,3}|[a-z])[.)]', 1) as v, case line_ix % 3 when 0 then 'paren-num' when 1 then 'num-dot' else 'alpha-paren' end as scheme from num where regexp_matches(line, '^\\(?(\\d{1,3}|[a-z])[.)] ')),
+n as (select distinct doc_id, scheme, case when scheme = 'alpha-paren' then unicode(v) - 96 else v::bigint end as value from e),
+k as (select *, value - row_number() over w as run, coalesce(lag(value) over w = value - 1, false) or coalesce(lead(value) over w = value + 1, false) as near from n window w as (partition by doc_id, scheme order by value)),
+r as (select doc_id, scheme, run, count(*) as n, count_if(near) as near from k group by all)
+select doc_id, scheme, max(n) as longest, sum(near)::bigint as neighbours, max(n) >= case when scheme = 'num-dot' then 3 else 2 end as active from r group by doc_id, scheme""")
 def numbering_schemes(s, d):
-    return structure.numbering(render.lines(_words(s, d)).withColumn("line", F.concat(F.lit("("), F.col("line_ix") + 1, F.lit(") "), "line")))
+    return structure.numbering(_numbered(s, d))
 
 
 # A library.
@@ -708,16 +723,9 @@ def sheet_cells(s, d):
     return document.sheet_cells(table_cells(s, d))
 
 
-@plan("companion_files", """with d as (select 'f' || doc_id || '.pdf' as path, 'f' || doc_id as stem from documents where doc_id % 5 = 0), f as (select 'F' || doc_id || '.hocr' as file from documents)
+@plan("companion_files", """with d as (select 'f' || doc_id || '.pdf' as path, 'f' || doc_id as stem from documents), f as (select 'F' || doc_id || '.hocr' as file from documents)
 select path, array_to_string(list_sort(list(file)), '|') as companions from d join f on starts_with(lower(file), stem) group by path""")
 def companion_files(s, d):
-    docs = _docs(s, d)
-    got = document.companions(docs.where("doc_id % 5 = 0").select(F.concat(F.lit("f"), "doc_id", F.lit(".pdf")).alias("path")), docs.select(F.concat(F.lit("F"), "doc_id", F.lit(".hocr")).alias("path")))
-    return got.select("path", F.array_join("companions", "|").alias("companions"))
-
-
-@plan("companion_files_all")
-def companion_files_all(s, d):
     docs = _docs(s, d)
     got = document.companions(docs.select(F.concat(F.lit("f"), "doc_id", F.lit(".pdf")).alias("path")), docs.select(F.concat(F.lit("F"), "doc_id", F.lit(".hocr")).alias("path")))
     return got.select("path", F.array_join("companions", "|").alias("companions"))
@@ -728,7 +736,12 @@ def markdown_paragraphs(s, d):
     return markup.markdown(_docs(s, d))
 
 
-@plan("sentence_ends", W + """, p as (select doc_id, page, line_ix, word_ix, regexp_replace(text, '["'')\\]”’]+$', '') as t from words)
-select doc_id, page, line_ix, word_ix, regexp_matches(t, '[.!?]$') and not lower(t) in ('mr.', 'mrs.', 'ms.', 'dr.', 'prof.', 'st.', 'no.', 'vs.', 'etc.', 'e.g.', 'i.e.', 'inc.', 'ltd.', 'co.', 'jr.', 'sr.', 'fig.', 'vol.') and not regexp_matches(t, '^[A-Z]\\.$') as ends from p""")
+@plan("sentence_ends", W + r""", c as (select doc_id, page, line_ix, word_ix, case when regexp_matches(text, '^.+[.!?]["'')\]}>]*$') then regexp_extract(text, '^(.+[.!?])["'')\]}>]*$', 1) else text end as core from words)
+select doc_id, page, line_ix, word_ix, regexp_matches(core, '[!?]$') or (regexp_matches(core, '\.$') and not regexp_matches(core, '\.{2,}$|^[A-Z]\.$|[0-9]\.$')
+  and not lower(left(core, -1)) in ('mr', 'mrs', 'ms', 'dr', 'prof', 'rev', 'sr', 'jr', 'etc', 'vs', 'vol', 'no', 'eg', 'ie', 'al', 'cf', 'p', 'pp', 'pg', 'sec', 'ch', 'art', 'cl', 'fig', 'tab', 'ex', 'us', 'uk')
+  and not lower(replace(core, '.', '')) in ('mr', 'mrs', 'ms', 'dr', 'prof', 'rev', 'sr', 'jr', 'etc', 'vs', 'vol', 'no', 'eg', 'ie', 'al', 'cf', 'p', 'pp', 'pg', 'sec', 'ch', 'art', 'cl', 'fig', 'tab', 'ex', 'us', 'uk')) as ends from c""")
 def sentence_ends(s, d):
     return _words(s, d).select("doc_id", "page", "line_ix", "word_ix", markup.ends_sentence(F.col("text")).alias("ends"))
+
+
+from . import further  # noqa: E402, F401  more queries, which build on those above

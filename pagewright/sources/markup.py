@@ -112,11 +112,16 @@ def docx(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, PARAGRAPH)
 
 
+# Words after which a full stop ends no sentence.
+ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "rev", "sr", "jr", "etc", "vs", "vol", "no", "eg", "ie", "al", "cf", "p", "pp", "pg", "sec", "ch", "art", "cl", "fig", "tab", "ex", "us", "uk")
+
+
 def ends_sentence(word: Column) -> Column:
-    """Whether a word ends a sentence: by its mark, unless it is a known abbreviation or an initial."""
-    plain = F.regexp_replace(word, r"""["')\]”’]+$""", "")
-    short = F.lower(plain).isin("mr.", "mrs.", "ms.", "dr.", "prof.", "st.", "no.", "vs.", "etc.", "e.g.", "i.e.", "inc.", "ltd.", "co.", "jr.", "sr.", "fig.", "vol.")
-    return plain.rlike("[.!?]$") & ~short & ~plain.rlike(r"^[A-Z]\.$")
+    """Whether a word ends a sentence: by its mark, before closing brackets and quotes; not by a full stop after dots, an initial, a digit or an abbreviation."""
+    found = F.regexp_extract(word, r"""^(.+[.!?])["')\]}>]*$""", 1)
+    core = F.when(found != "", found).otherwise(word)
+    short = F.lower(F.substr(core, F.lit(1), F.length(core) - 1)).isin(*ABBREVIATIONS) | F.lower(F.replace(core, F.lit("."), F.lit(""))).isin(*ABBREVIATIONS)
+    return core.rlike("[!?]$") | (core.rlike(r"\.$") & ~core.rlike(r"\.{2,}$|^[A-Z]\.$|[0-9]\.$") & ~short)
 
 
 def _attr(x: Column, name: str) -> Column:
