@@ -27,4 +27,5 @@ def components(links: DataFrame) -> DataFrame:
         drop(labels)
         labels = new.drop("old")
         if not moved:
+            drop(both)
             return labels

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, table, written
+from .common import ASCII_LOWER, drop, table, written
 from .components import components
 
 #: Words in a shingle, and the similarity from which two sets are linked, as a fraction of whole numbers.
@@ -179,6 +179,7 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     each = made.where("bucket is null").select("chunk", "ix", "id", "n", "same", "shared")
     told = each.join(others, ["chunk", "ix"], "left").withColumn("may", (F.col("shared") + F.coalesce("others", F.lit(0))) * DEN >= F.col("n") * NUM)
     all_docs = written(told.select("id", "n", "same", "may"), "sizes")
+    drop(made)
     may = all_docs.where("n > 0").groupBy("same").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.bool_or("may").alias("may")).where("may")
     return all_docs, written(may.select(F.monotonically_increasing_id().alias("cid"), "same", "id", "n"), "classes")
 
@@ -229,7 +230,9 @@ def postings(sets: DataFrame) -> DataFrame:
     most = F.size("held").cast("long")
     alone = F.col("n") - most
     linked = held.where(most * DEN >= F.col("n") * NUM).withColumn("first", F.slice("held", 1, F.greatest(F.lit(0), _prefix(F.col("n")) - alone).cast("int")))
-    return written(linked.select("cid", "n", most.alias("most"), (F.col("common") / F.col("n")).alias("rank"), F.explode("first.token").alias("token")), "postings")
+    out = written(linked.select("cid", "n", most.alias("most"), (F.col("common") / F.col("n")).alias("rank"), F.explode("first.token").alias("token")), "postings")
+    drop(df)
+    return out
 
 
 def _reachable(a: str, b: str) -> Column:
@@ -282,7 +285,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are linked. Whole sets are fetched only for pairs that every order lets through."""
     x, y = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("y"))
     left = written(meeting(pairs, sets), "meeting")
-    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
+    out = written(left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
+    drop(left)
+    return out
 
 
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,17 +303,22 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     pivot = posts.groupBy("token").agg(F.max_by(F.struct("cid", "n", "most"), F.struct("rank", "cid")).alias("pivot"), F.count("*").alias("df")).where("df > 1")
     star = posts.alias("p").join(pivot.select("token", F.col("pivot.*")).alias("q"), "token").where((F.col("p.cid") != F.col("q.cid")) & _reachable("p", "q"))
     pairs = written(star.select(F.least("p.cid", "q.cid").alias("a"), F.greatest("p.cid", "q.cid").alias("b")).distinct(), "stars")
-    first = written(verified(pairs, sets), "links")
+    first = verified(pairs, sets)
     comp = components(first).withColumnRenamed("id", "cid")
     now = posts.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     now = written(now, "postings")
+    drop(posts)
     spread = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by("comp", F.struct("rank", "cid")).alias("main")).where("low != high")
     still = written(now.join(spread.select("token", "main"), "token").join(sets.select("cid", "bits"), "cid"), "open")
     few, all_ = still.where("comp != main").alias("p"), still.alias("q")
     apart = (F.col("p.comp") != F.col("q.comp")) & ((F.col("q.comp") == F.col("q.main")) | (F.col("p.cid") < F.col("q.cid")))
     more = few.join(all_, F.col("p.token") == F.col("q.token")).where(apart & _reachable("p", "q") & _near_enough("p", "q"))
     rest = more.select(F.least("p.cid", "q.cid").alias("a"), F.greatest("p.cid", "q.cid").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = written(verified(written(rest, "pairs"), sets), "links")
+    rest = written(rest, "pairs")
+    for done in (pairs, now, still):
+        drop(done)
+    second = verified(rest, sets)
+    drop(rest)
     every = first.unionByName(second)
     return every, components(every).withColumnRenamed("id", "cid")
 
@@ -338,6 +348,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     _, comp = links(sets)
     n = all_docs.count()
     of = written(sets.select("cid", "same", "id").join(comp, "cid").select("same", "id", "comp"), "members")
+    drop(sets)
     least = written(of.groupBy("comp").agg(F.min("id").alias("end"), F.count("*").alias("copies")), "least")
     linked_ = _looked_up(of.select("same", "comp"), least, "comp", n).select("same", "end")
     own = all_docs.where("n > 0").groupBy("same").agg(F.min("id").alias("own"), F.count("*").alias("copies"))
