@@ -99,6 +99,31 @@ def k_to_one(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def conflicts_resolved(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each word of a with the text it has once b is believed: (word's key, text, replaced).
+
+    Of the words of b that stand one to one with it the last in reading order counts; "eg" and "ie", whatever marks
+    they have, stay. Boxes decide alone, not how the words look on the page.
+    """
+    found = pairs(a, b)
+    last = found.where(one_to_one(found)).groupBy("doc_id", "page", F.col("a_line").alias("line_ix"), F.col("a_word").alias("word_ix")).agg(F.max_by("b_text", F.struct("b_line", "b_word")).alias("said"))
+    stays = F.regexp_replace("text", r"\W", "").isin("eg", "ie")
+    text = F.when(F.col("said").isNull() | stays, F.col("text")).otherwise(F.col("said"))
+    return a.join(last, WORD, "left").select(*WORD, text.alias("text"), (text != F.col("text")).alias("replaced"))
+
+
+def penalty(text: Column) -> Column:
+    """How unlikely a word looks: a twentieth for each of a sign of per cent after no digit, a double i, a lone m, a digit between letters, a bracket that closes at the start."""
+    signs = ("[^0-9]%", "ii", "^m$", "(?i)[a-z][0-9][a-z]", r"^\].")  # fixed values
+    return sum((F.when(text.rlike(x), 1).otherwise(0) for x in signs), F.lit(0)) * F.lit(0.05)
+
+
+def implausible(text: Column, other: Column) -> Column:
+    """Whether a word has a digit between letters, or a double i between other letters, and the other reading has not."""
+    only = lambda x: text.rlike(x) & ~other.rlike(x)
+    return only("(?i)[a-z][0-9][a-z]") | only("(?i)[a-hj-z]ii[a-hj-z]")
+
+
 def assigned(base: DataFrame, other: DataFrame) -> DataFrame:
     """Each word of other with the one word of base that covers most of it, half at least; ties go to the first in reading order."""
     cover = overlap("b", "a")

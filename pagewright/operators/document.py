@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import meet, overlap, shared_area
-from ..functions.text import column_name
+from ..functions.text import column_name, heading
 
 PAGE = ["doc_id", "page"]
 
@@ -178,13 +178,10 @@ def companions(documents: DataFrame, data: DataFrame) -> DataFrame:
     return d.join(f, ["folder", "stem"]).groupBy("path").agg(F.sort_array(F.collect_list("file")).alias("companions"))
 
 
-def tables_from_spec(words: DataFrame, cells: DataFrame) -> DataFrame:
-    """(doc_id, page, table_ix, col_ix, left, right): columns of tables given by their cells' texts (table_ix, row_ix, col_ix, text), from the words found; bounds lie halfway between neighbours."""
-    hit = words.join(F.broadcast(cells.select("table_ix", "col_ix", F.explode(F.split(F.lower("text"), " ")).alias("key")).distinct()), F.lower(words.text) == F.col("key"))
-    col = hit.groupBy(*PAGE, "table_ix", "col_ix").agg(F.min("left").alias("left"), F.max("right").alias("right"))
-    w = Window.partitionBy(*PAGE, "table_ix").orderBy("col_ix")
-    mid = lambda a, b: F.floor((a + b) / 2 + 0.5)
-    return col.select(*PAGE, "table_ix", "col_ix", F.coalesce(mid(F.lag("right").over(w), F.col("left")), F.col("left")).alias("left"), F.coalesce(mid(F.col("right"), F.lead("left").over(w)), F.col("right")).alias("right"))
+def located(outline: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, node, page, line_ix): nodes of an outline (doc_id, node, title) at the first line of the document that says their title, null where none does."""
+    said = lines.groupBy("doc_id", heading(F.col("line")).alias("_said")).agg(F.min(F.struct("page", "line_ix")).alias("at"))
+    return outline.withColumn("_said", heading(F.col("title"))).join(said, ["doc_id", "_said"], "left").select("doc_id", "node", "at.page", "at.line_ix")
 
 
 def sheet_cells(cells: DataFrame) -> DataFrame:

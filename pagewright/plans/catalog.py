@@ -744,4 +744,4 @@ def sentence_ends(s, d):
     return _words(s, d).select("doc_id", "page", "line_ix", "word_ix", markup.ends_sentence(F.col("text")).alias("ends"))
 
 
-from . import further, written_formats  # noqa: E402, F401  more queries, which build on those above
+from . import further, page_tables, written_formats  # noqa: E402, F401  more queries, which build on those above
