@@ -15,8 +15,8 @@ from .common import read_all, table, written
 
 #: Vectors in a block of the index, queries that are broadcast at once, levels of quantised impact, results.
 BLOCK, QUERIES, LEVELS, TOP = 8192, 16_384, 32, 5
-#: Rounds of descending impact: each processes the segments above that share of the highest one.
-CUTS = (0.45, 0.3, 0.22, 0.16, 0.11, 0.07, 0.03, 0)
+#: Of a query's norm, the share that lists left closed at first may have; of the product of norms, the impact below zero down to which the others go at first.
+CLOSED, CUT = 0.2, 0.015
 
 
 class Index:
@@ -27,58 +27,64 @@ class Index:
         by_id = np.argsort(ids, kind="stable")
         self.ids, self.v = ids[by_id], np.ascontiguousarray(vectors[by_id])
         n, d = self.v.shape
-        self.low, self.high = self.v.min(axis=0), self.v.max(axis=0)
-        self.width = np.maximum(1, -(-(self.high - self.low + 1) // LEVELS))
-        levels = ((self.v - self.low) // self.width).astype(np.int16)
-        self.order = order = np.argsort(levels, axis=0, kind="stable").astype(np.int32) if order is None else order.astype(np.int32)
-        self.rows = [np.ascontiguousarray(order[:, j]) for j in range(d)]
-        self.levels = [np.ascontiguousarray(levels[order[:, j], j]) for j in range(d)]
-        self.ends = np.stack([np.searchsorted(self.levels[j], np.arange(LEVELS + 1)) for j in range(d)]) if d else np.zeros((0, LEVELS + 1), dtype=int)
-
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but those with the id own; ties to the smaller id."""
+        self.float = self.v.astype(np.float64)
+        self.low, self.high = self.float.min(axis=0), self.float.max(axis=0)
+        self.width = np.maximum(1, np.ceil((self.high - self.low + 1) / LEVELS))
+        levels = ((self.float - self.low) // self.width).astype(np.int16)
+        self.order = order = np.argsort(levels, axis=0, kind="stable") if order is None else order
+        self.rows = np.ascontiguousarray(order.T, dtype=np.intp)
+        self.values = np.take_along_axis(np.ascontiguousarray(self.float.T), self.rows, axis=1)
+        self.ends = np.stack([np.searchsorted(levels[self.rows[j], j], np.arange(LEVELS + 1)) for j in range(d)]) if d else np.zeros((0, LEVELS + 1), dtype=int)
+        self.norm = np.sqrt((self.float**2).sum(axis=1))
+        self.most = np.abs(self.float).max(axis=0)
+        self.read = 0  # postings that searches have read
+
+    def search(self, own: int, q: np.ndarray, k: int, bar: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but those with the id own; ties to the smaller id. With a bar, only rows that reach it.
+
+        The lists of the highest weights are read first, each from its best segment down to a common cut, which is
+        then the most that their other postings add; lists that are not open add the product of the norms at most.
+        Where that leaves too many rows that may reach the bar, the rest of these lists follows, then the others.
+        Impacts are summed as floats; the margin is far above their error, and the rows that remain are scored exactly.
+        """
         n, d = self.v.shape
-        apart = self.ids != own
-        if not d or not n:
-            at = np.flatnonzero(apart)[:k]
-            return self.ids[at], np.zeros(len(at), dtype=np.int64)
-        up = q > 0
-        slack = np.abs(q) * (self.width - 1)
-        floor = np.where(up, q * self.low, q * (self.low + LEVELS * self.width - 1))  # the least that a row can get of each dimension
-        edge = np.arange(LEVELS)
-        least = np.where(up[:, None], q[:, None] * (self.low[:, None] + edge * self.width[:, None]), q[:, None] * (self.low[:, None] + (edge + 1) * self.width[:, None] - 1)) - floor[:, None]
-        every = np.arange(d)
-        full = self.ends[:, 1:] > self.ends[:, :-1]
-        impact = np.where(full, least + slack[:, None], 0)  # the most that a segment's rows can get above the floor
-        impact = np.where(up[:, None], impact[:, ::-1], impact)  # the best segments first
-        best_next = np.maximum.accumulate(impact[:, ::-1], axis=1)[:, ::-1]  # of a segment and those after it
-        best_next = np.concatenate([best_next, np.zeros((d, 1), dtype=best_next.dtype)], axis=1)
-        top, used = int(impact.max()), np.flatnonzero(q)
-        score = np.zeros(n, dtype=np.int64)
-        done, base, best = np.zeros(d, dtype=np.int64), int(floor.sum()), None
-        for share in CUTS:
-            cut = int(top * share) if share else -1
-            to = (best_next[:, :-1] > cut).sum(axis=1)
-            a = np.where(up, self.ends[every, LEVELS - to], self.ends[every, done]).tolist()
-            b = np.where(up, self.ends[every, LEVELS - done], self.ends[every, to]).tolist()
-            done = to
-            for j in used.tolist():
-                if b[j] > a[j]:
-                    at = self.rows[j][a[j] : b[j]]
-                    score[at] += least[j][self.levels[j][a[j] : b[j]]]
-            rest = int(best_next[used, to[used]].sum())
-            near = np.argpartition(np.where(apart, score, -1), max(0, n - 4 * k))[-4 * k :]
-            near = near[apart[near]]
-            exact = np.sort(self.v[near] @ q)
-            if len(exact) >= k:
-                best = max(exact[-k], best) if best is not None else exact[-k]
-            if best is None and share:
-                continue
-            # A row outside has at most its score, the slack of each dimension and what is left of it: below the bar.
-            may = np.flatnonzero(apart & (score + int(slack.sum()) + rest + base >= best)) if best is not None else np.flatnonzero(apart)
-            if len(may) <= max(8 * k, n // 50) or not share:
+        f = q.astype(np.float64)
+        total = float(np.abs(f) @ self.most)
+        v, exactly = (self.float, f) if total < 2**53 else (self.v, q)
+        bound, room = np.zeros(n), np.empty(n)
+        bound[np.searchsorted(self.ids, own, "left") : np.searchsorted(self.ids, own, "right")] = -np.inf
+        by_weight = np.argsort(np.abs(f), kind="stable")
+        light = int((np.cumsum(f[by_weight] ** 2) <= CLOSED**2 * (f @ f)).sum())
+        closed, heavy = by_weight[:light][::-1], by_weight[light:][::-1]
+        cut = -CUT * float(np.sqrt(f @ f)) * float(self.norm.max(initial=0))
+        up = f[heavy] > 0
+        edge = np.floor((cut / f[heavy] - self.low[heavy]) / self.width[heavy]) + ~up
+        edge = self.ends[heavy, np.clip(edge, 0, LEVELS).astype(np.int64)]  # segments from there up, or those below it, have impacts above the cut
+        above = [(j, e, n, cut) if u else (j, 0, e, cut) for j, e, u in zip(heavy.tolist(), edge.tolist(), up.tolist())]
+        below = [(j, 0, e, cut) if u else (j, e, n, cut) for j, e, u in zip(heavy.tolist(), edge.tolist(), up.tolist())]
+        others = [(j, 0, n, 0.0) for j in closed.tolist()]
+        bound += cut * len(heavy)
+        most = float(np.maximum(f * self.low, f * self.high)[closed].sum())
+        rest = np.minimum(float(np.sqrt((f[closed] ** 2).sum())) * self.norm, most)
+        for postings, left in ((above, rest), (below, rest), (others, 0)):
+            for j, a, b, known in postings:
+                if b > a:
+                    impact = np.multiply(self.values[j, a:b], f[j], out=room[: b - a])
+                    impact -= known
+                    np.add.at(bound, self.rows[j, a:b], impact)
+                    self.read += b - a
+            reach = bound + left
+            near = np.argpartition(reach, max(0, n - 4 * k))[-4 * k :]
+            near = near[reach[near] > -np.inf]
+            if len(near) >= k:
+                here = int(np.sort(v[near] @ exactly)[-k])
+                bar = here if bar is None else max(bar, here)
+            may = np.flatnonzero(reach >= bar - 1e-9 * total) if bar is not None else np.flatnonzero(reach > -np.inf)
+            if len(may) <= max(8 * k, n // 8):
                 break
-        exact = self.v[may] @ q
+        exact = (v[may] @ exactly).astype(np.int64)
+        if bar is not None:
+            may, exact = may[exact >= bar], exact[exact >= bar]
         at = np.lexsort((self.ids[may], -exact))[:k]
         return self.ids[may[at]], exact[at]
 
@@ -128,10 +134,11 @@ def _blocks(most: int):
 
 
 def _searched(shared, k: int):
-    """Each block's k best rows for every query that is broadcast."""
+    """Each block's k best rows for every query that is broadcast, without those below the k best of the task's blocks before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
+        best: dict[int, list[list[int]]] = {d: [[] for _ in ids] for d, (ids, _) in asked.items()}
         for b in batches:
             for row in b.to_pylist():
                 ids, d = np.frombuffer(row["ids"], dtype=np.int64), row["size"]
@@ -141,8 +148,9 @@ def _searched(shared, k: int):
                 index = Index(ids, v, np.frombuffer(row["orders"], dtype=np.uint16).reshape(len(ids), d))
                 for at in range(0, len(asked[d][0]), 1024):
                     own, found, scores = [], [], []
-                    for q, x in zip(asked[d][0][at : at + 1024], asked[d][1][at : at + 1024]):
-                        i, s = index.search(int(q), x, k)
+                    for q, x, top in zip(asked[d][0][at : at + 1024], asked[d][1][at : at + 1024], best[d][at : at + 1024]):
+                        i, s = index.search(int(q), x, k, top[-1] if len(top) == k else None)
+                        top[:] = sorted(top + s.tolist(), reverse=True)[:k]
                         own += [int(q)] * len(i)
                         found.append(i)
                         scores.append(s)
