@@ -2,7 +2,6 @@ import json
 
 from pagewright.operators import library
 from pagewright.plans import catalog
-from pagewright.sources import columns
 
 from .harness import duck
 
@@ -36,12 +35,11 @@ def test_the_index_is_stored_whole_with_new_slots(spark, tmp_path):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(want.fetchall())
 
 
-def test_blocks_and_ranges(spark, monkeypatch):
-    monkeypatch.setattr(columns, "BYTES", 300)
+def test_blocks_and_ranges(spark):
     ids = [(i * i * 31) % 9973 - 500 for i in range(1300)]  # some twice
     rows = [(i, i % 5 == 0, f"all w{i % 3} D{i} " + "\n" * 3 + "end " * (i % 7)) for i in ids]
     docs = spark.createDataFrame(rows, "doc_id long, later boolean, text string").repartition(7)
-    out = library.compacted(docs, lambda a: a.where(a.word != 0), block=100).collect()
+    out = library.compacted(docs, lambda a: a.where(a.word != 0), block=100, most=300).collect()
     left = sorted(set(ids), key=lambda i: (i % 5 == 0, i))
     docs, index = _read(out)
     assert docs == left and len({r["block"] for r in out}) == -(-len(left) // 100) > 5
